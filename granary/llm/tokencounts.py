@@ -37,7 +37,7 @@ def token_spans(text: str, ids: np.ndarray, widths: np.ndarray) -> tuple[np.ndar
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the span that each token goes to (-1: none), and whether the token crosses its bounds.
+    """Index of the span that each token goes to (-1: it touches none), and whether the token reaches over its bounds.
 
     Rule: a token goes to the span that holds most of its characters; of spans that hold as many, to
     the earlier. spans: in order, not overlapping. A token can touch many short spans, so every span
@@ -55,7 +55,7 @@ def attribute(starts: np.ndarray, ends: np.ndarray, spans: list[Span]) -> tuple[
         more = share > held[todo]
         best[todo[more]], held[todo[more]] = k[more], share[more]
         at[todo] += 1
-    return best, held < ends - starts
+    return best, (held > 0) & (held < ends - starts)
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sections: Callable[[str], list[Span]] = lead_body_tail, path: str | None = None) -> DataFrame:
