@@ -34,7 +34,7 @@ LENGTH, K = 400, 32
 #: Most contexts of a cell that one bucket sorts, and rows of a bucket on average.
 MAX_CELL, BUCKET_ROWS = 20_000, 12_000
 #: Bytes that are searched for anchors at once, and anchors among which a task combines equal contexts.
-SPAN, COMBINE = 1 << 20, 1 << 17
+SPAN, COMBINE = 1 << 18, 1 << 15
 #: Bits of the filter that holds documents to be fetched: a broadcast of 2 MB at every size.
 FILTER_BITS = 1 << 24
 
