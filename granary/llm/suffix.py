@@ -20,13 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from granary.llm._common import Tables, as_bytes, bounded_batches, partitions
 
@@ -34,7 +32,7 @@ LENGTH, K = 400, 32
 #: Most contexts of a cell that one bucket sorts, and rows of a bucket on average.
 MAX_CELL, BUCKET_ROWS = 20_000, 12_000
 #: Bytes that are searched for anchors at once, and anchors among which a task combines equal contexts.
-SPAN, COMBINE = 1 << 18, 1 << 15
+SPAN, COMBINE = 1 << 16, 1 << 15
 #: Bits of the filter that holds documents to be fetched: a broadcast of 2 MB at every size.
 FILTER_BITS = 1 << 24
 
@@ -359,8 +357,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K, max_cell: int = MAX_CELL) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (long), and kept (binary) in place of the text.
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K, max_cell: int = MAX_CELL, as_text: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans (long), and kept in place of the text: bytes, or text if asked, where code points that lost bytes go.
 
     Removed is every byte of a string of `length` bytes that also starts anywhere else in the column;
     all places go, the first too. Null texts are empty; texts shorter than `length` stay whole; equal
@@ -376,6 +374,9 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
     row = docs.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("row"), as_bytes(text_col).alias("text"))
     kind = row.schema["row"].dataType.simpleString()
 
+    def given(kept: list[bytes]) -> pa.Array:
+        return pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+
     def deal(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             press, mine = zstandard.ZstdCompressor(level=1), bits.value
@@ -394,7 +395,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
                     yield pa.RecordBatch.from_arrays([rows, pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(out, pa.binary())], ["row", "t1", "t2", "z"])
                 else:
                     zero = pa.array(np.zeros(len(take), np.int64))
-                    yield pa.RecordBatch.from_arrays([rows, pa.array([len(x) for x in out], pa.int64()), zero, zero, pa.array(out, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+                    yield pa.RecordBatch.from_arrays([rows, pa.array([len(x) for x in out], pa.int64()), zero, zero, given(out)], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
         return run
 
@@ -410,19 +411,9 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
                 kept = b"".join([*parts, text[at:]])
                 out.append((len(text), len(text) - len(kept), len(runs), kept))
             cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(cols)]], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[given(c) if i == 3 else pa.array(c, pa.int64()) for i, c in enumerate(cols)]], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    result = f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
+    result = f"row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     same = row.mapInArrow(deal(False), result)
     other = row.mapInArrow(deal(True), f"row {kind}, t1 long, t2 long, z binary").join(spans, ["t1", "t2"], "left").select("row", "z", "spans").mapInArrow(cut, result)
     return same.unionByName(other).select(*[F.col("row").getField(c).alias(c) for c in rest], "n_bytes", "n_removed", "n_spans", "kept")
-
-
-def text_of(kept: str = "kept"):
-    """The kept bytes as text; code points that lost some of their bytes go."""
-    return _decode(F.col(kept))
-
-
-@F.pandas_udf(StringType())
-def _decode(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))

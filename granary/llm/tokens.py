@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 
 import numpy as np
@@ -28,18 +29,23 @@ class ByteBPE:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.exact = Tokenizer.from_file(path)
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(os.path.splitext(path)[0] + ".tiktoken", "rb"))}
+        with open(path, encoding="utf-8") as f:
+            added = {t["id"]: t["content"] for t in json.load(f)["added_tokens"]}
+        with open(os.path.splitext(path)[0] + ".tiktoken", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.path, self.added = path, list(added.values())
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        size = max([*ranks.values(), *self.exact.get_added_tokens_decoder()]) + 1
         #: Bytes that an id stands for.
-        self.widths = np.zeros(size, np.int64)
+        self.widths = np.zeros(max([*ranks.values(), *added]) + 1, np.int64)
         for token, i in ranks.items():
             self.widths[i] = len(token)
-        for i, token in self.exact.get_added_tokens_decoder().items():
-            self.widths[i] = len(token.content.encode())
+        for i, token in added.items():
+            self.widths[i] = len(token.encode())
+
+    @functools.cached_property
+    def exact(self) -> Tokenizer:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):

@@ -88,6 +88,8 @@ def test_awkward_rows(awkward, empty):
     assert suffix.without_repeats(empty).collect() == []
 
 
-def test_text_of_cut_code_points(spark):
-    df = spark.createDataFrame([(b"\xa9ab\xc3",), (None,)], "kept binary")
-    assert [r[0] for r in df.select(suffix.text_of()).collect()] == ["ab", None]
+def test_kept_text_has_whole_code_points(spark):
+    texts = ["aé" * 30 + "x" * 9, "y" * 9 + "\u00e9a" * 30, "é" * 3]
+    rows = {r["doc_id"]: r for r in suffix.without_repeats(docs(spark, texts), length=64, k=8, as_text=True).collect()}
+    raw = {r["doc_id"]: bytes(r["kept"]) for r in suffix.without_repeats(docs(spark, texts), length=64, k=8).collect()}
+    assert {i: r["kept"] for i, r in rows.items()} == {i: b.decode("utf-8", "ignore") for i, b in raw.items()} and rows[0]["n_removed"] > 0
