@@ -122,7 +122,7 @@ def search_text(parts: dict[str, Column]) -> Column:
 def tags(c: Column) -> Column:
     """Tags divided by `|` if there is one, else by commas; without blanks, in order."""
     parts = F.when(c.contains("|"), F.split(c, r"\|")).otherwise(F.split(c, ","))
-    return F.coalesce(F.filter(F.transform(parts, F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def stable_id(kind: Column, record: Column) -> Column:

@@ -84,7 +84,7 @@ def file_stem(c: Column) -> Column:
 
 def only_instruction(c: Column) -> Column:
     """The single item of an array that isn't blank; an error if there isn't exactly one."""
-    found = F.filter(F.transform(c, F.trim), lambda x: x != "")
+    found = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.raise_error(F.lit("exactly one instruction is needed")))
 
 

@@ -75,4 +75,4 @@ def requested(df: DataFrame, key: str, ids: list[str]) -> DataFrame:
     """Rows of the ids in their order; one that is missing is an error when the result is read."""
     asked = df.sparkSession.createDataFrame(list(enumerate(ids)), "__at long, __id string")
     out = asked.join(df, F.col("__id") == F.col(key).cast("string"), "left")
-    return out.withColumn("__id", F.when(F.col(key).isNull(), F.raise_error(F.lit("a requested id is missing"))).otherwise(F.col("__id"))).orderBy("__at").drop("__at", "__id")
+    return out.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit("a requested id is missing"))).otherwise(F.col(key))).orderBy("__at").drop("__at", "__id")

@@ -47,7 +47,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vector:
             parts.append(([x[0] for x in held], np.array([x[1] for x in held], np.float64)))
             held = []
     if held or not parts:
-        parts.append(([x[0] for x in held], np.array([x[1] for x in held], np.float64).reshape(len(held), -1)))
+        parts.append(([x[0] for x in held], np.array([x[1] for x in held], np.float64).reshape(len(held), width)))
     q_kind, i_kind = queries.schema[query_id].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
     rows = corpus.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("__id"), F.col(vector).alias("__v"))
     for names, matrix in parts:
@@ -95,6 +95,6 @@ def quantized_scores(a: Column, b: Column, scale_a: Column, scale_b: Column) ->
 def hashed_embedding(text: Column, width: int = 64) -> Column:
     """A stand-in encoder: signed word hashes summed into a unit vector, JVM-side. Real encoders plug in by mapInPandas."""
     words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    hashes = F.transform(words, F.xxhash64)
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
     cell = lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(width)) == i), F.lit(0.0), lambda s, h: s + F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0))
     return normalized(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell))

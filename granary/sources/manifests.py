@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, path: str) -> str:
-    rows = spark.read.option("wholetext", True).text(path).collect()
-    return rows[0][0] if rows else ""
+    rows = spark.read.format("binaryFile").load(path).select("content").collect()
+    return bytes(rows[0][0]).decode() if rows else ""
 
 
 def manifest_records(spark: SparkSession, path: str) -> Iterator[dict[str, Any]]:

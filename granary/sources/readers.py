@@ -153,7 +153,7 @@ def by_position(df: DataFrame, position: str, wanted: list[int]) -> DataFrame:
     """Rows at the wanted positions, in that order, repeats included; a missing one is an error when the result is read."""
     asked = df.sparkSession.createDataFrame(list(enumerate(wanted)), "asked_order long, asked long")
     joined = asked.join(df, F.col("asked") == F.col(position), "left")
-    return joined.withColumn("asked", F.when(F.col(position).isNull(), F.raise_error(F.lit("a position is missing"))).otherwise(F.col("asked"))).orderBy("asked_order").drop("asked", "asked_order")
+    return joined.withColumn(position, F.when(F.col(position).isNull(), F.raise_error(F.lit("a position is missing"))).otherwise(F.col(position))).orderBy("asked_order").drop("asked", "asked_order")
 
 
 def trainer_log(spark: SparkSession, path: str) -> DataFrame:
