@@ -253,7 +253,9 @@ def repeated_spans(docs: DataFrame, text_col: str, tables: Tables, length: int =
     whole = kept.join(counts.where("all > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("t1", "t2", F.col("first").alias("s"), F.col("last").alias("e"))
     cells = counts.select("r.*", (F.col("all") == 1).alias("open")).select("t1", "t2", "pos", "first", "last", "open", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("k0").alias("key")), F.struct(F.lit(1).alias("w"), F.col("k1").alias("key")))).alias("c")).select("t1", "t2", "pos", "first", "last", "open", "c.w", "c.key").where("key is not null")
     shared = cells.groupBy("key", "w").agg(F.count("*").alias("m"), F.max("open").alias("any_open")).where("m > 1 and any_open").select("key", "w", (F.col("m") > max_cell).alias("hot"))
-    met = tables.cut(cells.join(shared, ["key", "w"]).select("t1", "t2", "pos", "first", "last", "open", "w", "key", "hot"))
+    # Another key than the aggregation's, so that both sides are shuffled for the join and a hot cell's side can be split.
+    again = F.col("key").bitwiseXOR(F.lit(0x5BD1E995))
+    met = tables.cut(cells.withColumn("j", again).join(shared.select(again.alias("j"), "w", "hot"), ["j", "w"]).select("t1", "t2", "pos", "first", "last", "open", "w", "key", "hot"))
     covered = tables.cut(whole.unionByName(found.where("n is null").select("t1", "t2", F.col("first").alias("s"), F.col("last").alias("e"))).distinct())
     tables.drop(found)
 
