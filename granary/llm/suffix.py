@@ -340,8 +340,9 @@ def _counted(context: DataFrame, tables: Tables, length: int, half: int, reach:
     rows = context.dropDuplicates(["t1", "t2", "pos", "w"]).mapInArrow(windows, "t1 long, t2 long, pos long, o long, h1 long, h2 long")
     rows = rows.select("t1", "t2", (F.col("pos") - F.col("o")).alias("s"), "h1", "h2")
     rows = tables.cut(rows.dropDuplicates(["t1", "t2", "s"]))  # a window can hold two hot anchors
-    again = rows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    return rows.join(again, ["h1", "h2"]).select("t1", "t2", "s", (F.col("s") + length).alias("e"))
+    other = F.col("h1").bitwiseXOR(F.lit(0x5BD1E995))  # as above: a hot window's rows can be split
+    again = rows.groupBy("h1", "h2").count().where("count > 1").select(other.alias("j"), "h2")
+    return rows.withColumn("j", other).join(again, ["j", "h2"]).select("t1", "t2", "s", (F.col("s") + length).alias("e"))
 
 
 def _gathered(spans: DataFrame) -> DataFrame:
