@@ -1,13 +1,16 @@
-"""Drawing-command token sequences: classes, grammar, factorization and its inverse, all in built-in functions but the grammar."""
+"""Drawing-command token sequences: classes, factorization, and vectorized Python for its inverse and the grammar."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -95,27 +98,50 @@ def factorize_xy_rgb(ids: Column, book: Codebook = BOOK) -> Column:
     return F.flatten(F.transform(ids, one))
 
 
+KINDS = ("x", "y", "r", "g", "b", "path_end", "special_color", "command", "arc", "color", "bos", "eos")
+
+
+def _inverted(parts: pa.Array, book: Codebook) -> pa.Array:
+    """Every part looks at its neighbours in its own row, over all rows of the batch at once."""
+    sizes, flat = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(), pc.list_flatten(parts)
+    kind = pc.fill_null(pc.index_in(flat.field("kind"), value_set=pa.array(KINDS)), len(KINDS)).to_numpy()
+    value = pc.fill_null(flat.field("value").cast(pa.int64()), -1).to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    x, y, r, g, b, end, special, command, arc, color, bos, eos = range(len(KINDS))
+
+    def beside(values: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(len(values), -1, np.int64)
+        here, there = (slice(None, -n), slice(n, None)) if n > 0 else (slice(-n, None), slice(None, n))
+        out[here] = np.where(row[here] == row[there], values[there], -1)
+        return out
+
+    fits = np.isin(kind, (command, arc, color, bos, eos))
+    within = lambda n: (value >= 0) & (value < n)
+    for k, size, at in ((x, book.grid, {1: (y,)}), (y, book.grid, {-1: (x,)}), (r, 16, {1: (g,), 2: (b,), 3: (end,)}), (g, 16, {-1: (r,)}), (b, 16, {-1: (g,)}), (special, book.special_colors, {1: (end,)}), (end, 1, {-1: (b, special)})):
+        ok = (kind == k) & within(size)
+        for n, allowed in at.items():
+            ok &= np.isin(beside(kind, n), allowed)
+        fits |= ok
+    first = {y: book.coordinate[0], b: book.color[0] + book.special_colors, special: book.color[0], color: book.color[0], command: book.command[0], arc: book.arc[0], bos: book.bos, eos: book.eos}
+    ids, gives = np.zeros(len(kind), np.int64), np.isin(kind, list(first))
+    for k, base in first.items():
+        own = kind == k
+        ids[own] = base + (value[own] if k not in (bos, eos) else 0)
+    ids += np.where(kind == y, (book.grid - 1) * value + beside(value, -1), 0) + np.where(kind == b, 256 * beside(value, -2) + 16 * beside(value, -1), 0)
+    bad = np.bincount(row[~fits], minlength=len(sizes)) > 0
+    bad |= pc.is_null(parts).to_numpy(zero_copy_only=False)
+    keep = gives & ~bad[row]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(sizes))))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[keep]), mask=pa.array(bad))
+
+
 def invert(parts: Column, book: Codebook = BOOK) -> Column:
-    """Ids of a factorized sequence, of either kind: a y, b or path end closes what the parts before it began."""
-    kind, value = (lambda x: x.getField("kind")), (lambda x: x.getField("value").cast("bigint"))
-    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(0).cast("bigint").alias("held"))
-
-    def step(acc: Column, x: Column) -> Column:
-        k, v, held = kind(x), value(x), acc.getField("held")
-        out = (
-            F.when(k == "y", book.coordinate[0] + v * book.grid + held)
-            .when(k == "b", book.color[0] + book.special_colors + held * 16 + v)
-            .when(k.isin("special_color", "color"), book.color[0] + v)
-            .when(k == "command", book.command[0] + v)
-            .when(k == "arc", book.arc[0] + v)
-            .when(k == "bos", F.lit(book.bos))
-            .when(k == "eos", F.lit(book.eos))
-            .cast("bigint")
-        )
-        kept = F.when(k.isin("x", "r"), v).when(k == "g", held * 16 + v).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(F.when(out.isNotNull(), F.concat(acc.getField("ids"), F.array(out))).otherwise(acc.getField("ids")).alias("ids"), kept.alias("held"))
+    """Ids of a factorized sequence of either kind; null if its parts don't follow one another as factorization makes them."""
+
+    def run(batch: pa.Array) -> pa.Array:
+        return _inverted(batch, book)
 
-    return F.aggregate(parts, start, step, lambda acc: acc.getField("ids"))
+    return F.arrow_udf(run, ArrayType(LongType()))(parts)
 
 
 #: Result of the grammar: counts, or the first error and its place in the body.

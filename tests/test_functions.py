@@ -131,6 +131,11 @@ def test_factorizations_lengthen_and_come_back(spark):
     assert (f["coordinates"], f["rgb_colors"], f["special_colors"], f["paths"], f["commands"], f["arcs"], f["error"]) == (9, 1, 1, 2, 5, 3, None)
 
 
+@pytest.mark.parametrize("parts", [[("x", 1)], [("y", 1)], [("x", 200), ("y", 0)], [("r", 1), ("g", 1), ("path_end", 0)], [("special_color", 2), ("path_end", 0)], [("path_end", 0)], [("b", 1)], [("odd", 1)], [("r", 1), ("g", 1), ("b", 1)]])
+def test_malformed_parts_have_no_ids(spark, parts):
+    assert one(column(spark, [parts], "array<struct<kind: string, value: int>>"), codes.invert(F.col("c"))) == [None]
+
+
 @pytest.mark.parametrize(("ids", "error"), [
     ([BOS, EOS], "empty_body"), ([1, *IDS[1:]], "framing"), ([BOS, COLOR, EOS], "color_without_command"), ([BOS, C, EOS], "expected_command"), ([BOS, 151939, EOS], "truncated_command"),
     ([BOS, 151939, C, EOS], "open_path"), ([BOS, 151939, A, EOS], "argument"), ([BOS, BOS, EOS], "inner_framing"), ([BOS, 191943 + 40000, EOS], "reserved_id"),
