@@ -75,7 +75,7 @@ def grams(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarr
 def learn(labelled: DataFrame, tables: Tables, id_col: str, text_col: str, lang_col: str, train_docs: int = TRAIN_DOCS) -> Model | None:
     """Counts of n-grams by language, of a bounded sample of the labelled rows; None if there are no labels.
 
-    The sample takes the rows whose hashed id is below train_docs over the language's rows.
+    The sample takes the rows whose hash of id and text is below train_docs over the language's rows.
     """
     spark = labelled.sparkSession
     bounded_batches(spark)
@@ -88,7 +88,7 @@ def learn(labelled: DataFrame, tables: Tables, id_col: str, text_col: str, lang_
     while buckets > 256 and buckets * len(langs) * 8 > MATRIX_BYTES:
         buckets //= 2
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, train_docs / sizes[k])])
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("text", "lang")
+    sample = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("text", "lang")
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
