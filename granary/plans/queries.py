@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import codes, fields, markup, text
-from granary.operators import cascade, evaluation, integrity, joins, measures, ordered, retrieval, sets
+from granary.functions import codes, critic, fields, markup, pathcodec, text
+from granary.operators import audits, cascade, evaluation, integrity, joins, measures, ordered, retrieval, sets
 from granary.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -406,3 +406,39 @@ def bounded_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sets.first_failures(table(spark, sf_dir, "documents").where("n_chars > 3000").select("lang", "doc_id"), "lang", ["doc_id"], 5)
     ids = F.array_join(F.transform("first", lambda x: x.doc_id.cast("string")), ", ")
     return found.select("lang", "n", F.concat(F.lit("["), ids, F.lit("]")).alias("first"))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A restricted path text for every part; the larger ones reach out of the box, some have a command that the codec refuses."""
+    d = F.concat(F.lit("M 0 0 L "), F.col("p_size").cast("string"), F.lit(" 10 C 1 2 3 4 5 6 "), F.when(F.col("p_size") % 5 == 0, "H 3 ").otherwise("A 5 5 30 0 1 7 8 "), F.lit("Z"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 40 40"><path d="'), d, F.lit('" fill="#f80"/></svg>')).alias("svg"))
+
+
+@query("SELECT p_size <= 40 AND p_size % 5 <> 0 AS encoded, count(*) AS n, sum(CASE WHEN p_size <= 40 AND p_size % 5 <> 0 THEN 20 ELSE 0 END)::BIGINT AS tokens, count(*) FILTER (p_size <= 40 AND p_size % 5 <> 0) AS decoded FROM part GROUP BY 1")
+def path_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path texts encoded and decoded; on the box of the grid's own points they encode to the same tokens again."""
+    df = _paths(spark, sf_dir).withColumn("t", pathcodec.encode("svg")).withColumn("back", F.replace(pathcodec.decode("t.tokens"), F.lit("0 0 200 200"), F.lit("0 0 199 199"))).withColumn("again", pathcodec.encode("back"))
+    return df.groupBy(F.col("t.tokens").isNotNull().alias("encoded")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("t.tokens"), F.lit(0))).alias("tokens"), F.count_if(F.col("again.tokens") == F.col("t.tokens")).alias("decoded"))
+
+
+@query("""SELECT failure, count(*) AS n, coalesce(sum(c), 0)::BIGINT AS codec_tokens FROM (SELECT CASE WHEN l_quantity = 1 THEN 'empty_codec_target' WHEN l_linenumber = 5 THEN 'cached_framed_count_mismatch' WHEN l_returnflag = 'R' THEN 'labeled_target_count_mismatch' WHEN l_linenumber = 4 THEN 'labeled_target_id_mismatch' END AS failure, 2 AS k, CASE WHEN l_quantity = 1 OR l_linenumber IN (4, 5) OR l_returnflag = 'R' THEN NULL ELSE 2 END AS c FROM lineitem) GROUP BY failure""")
+def token_record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit codes of records made of line items."""
+    ids = F.when(F.col("l_quantity") == 1, F.array().cast("array<int>")).otherwise(F.array(F.lit(10), F.lit(11)))
+    labels = F.when(F.col("l_returnflag") == "R", F.array(F.lit(-100), F.lit(-100), F.lit(11))).when(F.col("l_linenumber") == 4, F.array(F.lit(-100), F.lit(11), F.lit(10))).otherwise(F.array(F.lit(-100), F.lit(10), F.lit(11)))
+    df = table(spark, sf_dir, "lineitem").select(F.array(F.lit("a"), F.lit("b")).alias("tokens"), F.lit("ab").alias("target"), F.when(F.col("l_linenumber") == 5, 3).otherwise(2).alias("framed_count"), ids.alias("target_ids"), F.array(F.lit(1), F.lit(10), F.lit(11)).alias("input_ids"), labels.alias("labels"))
+    return audits.record_audit(df, 10, 20).groupBy("failure").agg(F.count("*").alias("n"), F.coalesce(F.sum("codec_tokens"), F.lit(0)).alias("codec_tokens"))
+
+
+@query("SELECT coalesce(lang, 'all') AS lang, count(n_chars) AS n, min(n_chars) AS min_value, max(n_chars) AS max_value, sum(n_chars)::BIGINT AS sum_value, round(avg(n_chars), 6) AS mean_value, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, quantile_disc(n_chars, 0.99) AS p99, count(*) FILTER (n_chars > 2048) AS over_2048 FROM documents GROUP BY ROLLUP (lang)")
+def length_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length summaries by split and of all, in one rollup."""
+    return audits.by_split_and_all(table(spark, sf_dir, "documents"), "lang", "n_chars", (2048,))
+
+
+@query("""SELECT CASE WHEN turn > 0 AND role = 'user' THEN 'evaluation_pairs,none_applicable' WHEN role = 'assistant' THEN 'not_json' ELSE 'keys' END AS faults, count(*) AS n FROM conversations GROUP BY 1""")
+def critic_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of critic answers made of conversation turns."""
+    answer = F.when((F.col("turn") > 0) & (F.col("role") == "user"), '{"evaluations": [], "issues": []}').when(F.col("role") == "assistant", "no answer").otherwise('{"issues": []}')
+    df = table(spark, sf_dir, "conversations").select(answer.alias("a"), F.array(F.lit("e0001")).alias("t"))
+    return df.select(F.array_join(critic.contract_faults("a", "t"), ",").alias("faults")).groupBy("faults").agg(F.count("*").alias("n"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from granary.functions.markup import safe_names
+
 
 def expand(spark: SparkSession, patterns: Iterable[str], env: dict[str, str] | None = None) -> list[str]:
     """Paths of the patterns with $NAME replaced, matched by the store's own globbing; each once, sorted. An unmatched pattern is an error."""
@@ -177,3 +179,9 @@ def unique_ids(df: DataFrame, name: str) -> DataFrame:
 
 def column_or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def safe_fragments(df: DataFrame, content: str, caption: str, most: int = 1_000_000) -> DataFrame:
+    """Corpus rows with a caption and safe markup of bounded size, and their element names; fragments are judged inside a root."""
+    sized = df.where((F.length(content) <= most) & (F.coalesce(F.trim(caption), F.lit("")) != ""))
+    return sized.withColumn("element_names", safe_names(content)).where("element_names is not null")
