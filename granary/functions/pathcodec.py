@@ -16,7 +16,7 @@ from granary.functions.markup import SVG, _parsed, _split
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 _LEXEME = re.compile(rf"\s*,?\s*(?:([MLCAZ])|({_NUMBER}))")
 _COLOR = re.compile(r"#(?:[0-9a-f]{3}|[0-9a-f]{6})")
-#: Numbers that a path command takes.
+#: Numbers that a path command takes; token names, in `token` and `classes`, are fixed too.
 ARITY = {"M": 2, "L": 2, "C": 6, "A": 7, "Z": 0}
 #: Largest text in bytes, and most paths.
 MOST_BYTES, MOST_PATHS = 8 << 20, 2048
