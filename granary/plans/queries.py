@@ -69,7 +69,7 @@ def prep_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CASCADE_SQL}, s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('42|' || doc_id), doc_id) AS sample_rank FROM judged WHERE rejection IS NULL)
-    SELECT source, doc_id, sample_rank, CASE WHEN sample_rank <= 20 THEN 'train' WHEN sample_rank <= 25 THEN 'validation' ELSE 'test' END AS split FROM s WHERE sample_rank <= 30""")
+    SELECT source, doc_id, sample_rank::INTEGER AS sample_rank, CASE WHEN sample_rank <= 20 THEN 'train' WHEN sample_rank <= 25 THEN 'validation' ELSE 'test' END AS split FROM s WHERE sample_rank <= 30""")
 def prep_selected_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A balanced sample of the accepted rows of each source, split by rank."""
     rows = _judged(spark, sf_dir).where("rejection is null").select("source", "doc_id")
@@ -93,7 +93,7 @@ def word_count_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("lang", n.alias("n")).groupBy("lang").agg(F.count_if(F.col("n").between(50, 500)).alias("inside"), F.count_if(~F.col("n").between(50, 500)).alias("outside"), F.sum("n").alias("words"))
 
 
-@query("SELECT doc_id, ('0x' || substr(h, 1, 16))::UBIGINT % 100 AS bucket, CASE WHEN ('0x' || substr(h, 1, 16))::UBIGINT % 100 < 60 THEN 'detail' ELSE 'description' END AS policy, h AS stable_key FROM (SELECT doc_id, sha256('corpus' || chr(31) || '' || chr(31) || coalesce(source, '') || chr(31) || doc_id || chr(31) || sha256(text)) AS h FROM documents)")
+@query("SELECT doc_id, (('0x' || substr(h, 1, 16))::UBIGINT % 100)::INTEGER AS bucket, CASE WHEN ('0x' || substr(h, 1, 16))::UBIGINT % 100 < 60 THEN 'detail' ELSE 'description' END AS policy, h AS stable_key FROM (SELECT doc_id, sha256('corpus' || chr(31) || '' || chr(31) || coalesce(source, '') || chr(31) || doc_id || chr(31) || sha256(text)) AS h FROM documents)")
 def stable_hash_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = text.stable_key(F.lit("corpus"), F.lit(None).cast("string"), F.col("source"), F.col("doc_id").cast("string"), F.sha2("text", 256))
     df = table(spark, sf_dir, "documents").select("doc_id", key.alias("stable_key"))
@@ -155,7 +155,7 @@ def histogram_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH h AS (SELECT l_quantity::BIGINT AS value, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 63 GROUP BY 1),
     a AS (SELECT 'top' AS "end", row_number() OVER (ORDER BY n DESC, value) AS place, value, n FROM h), b AS (SELECT 'least' AS "end", row_number() OVER (ORDER BY n, value) AS place, value, n FROM h)
-    SELECT * FROM a WHERE place <= 10 UNION ALL SELECT * FROM b WHERE place <= 10""")
+    SELECT "end", place::INTEGER AS place, value, n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE place <= 10""")
 def histogram_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.extremes(measures.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 64))
 
@@ -179,7 +179,7 @@ def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(ordered.trailing_mean("value", ["user_id"], "event_id"), 4).alias("trailing"))
 
 
-@query("""SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rank
+@query("""SELECT query_id, id, score, rank::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rank
     FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id) WHERE rank <= 10""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of every vector whose id is divisible by 20, against all."""
@@ -190,7 +190,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH h AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
     w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM h WHERE s >= 0.1)
-    SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM w WHERE r <= 15 AND label % 2 = 0) WHERE rank <= 5""")
+    SELECT query_id, id, round(s, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM w WHERE r <= 15 AND label % 2 = 0) WHERE rank <= 5""")
 def retrieval_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five usable hits out of fifteen over a threshold."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -266,7 +266,7 @@ def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows_in"), back(codes.factorize_xy(F.col("ids"))).alias("xy_back"), back(codes.factorize_xy_rgb(F.col("ids"))).alias("rgb_back"), F.count_if(F.col("f.error").isNull()).alias("valid"))
 
 
-@query("SELECT conv_id, turn, 'Request: ' || text AS prompt, 3 AS messages, length('Request: ' || text) + 4 + length(text) AS chars FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id, turn, 'Request: ' || text AS prompt, 3 AS messages, (length('Request: ' || text) + 4 + length(text))::INTEGER AS chars FROM conversations WHERE text IS NOT NULL")
 def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "conversations").where("text is not null").withColumn("prompt", fields.brief_prompt(F.col("text")))
     df = df.withColumn("m", fields.chat("Draw", F.col("prompt"), F.col("text")))
