@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -169,6 +170,18 @@ def _then_none(batches):
     yield None
 
 
+def _groups(docs: DataFrame, tables: Tables, id_col: str, text_col: str, shingle: int, radius: int, max_tree: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row of docs, and (fp, group, component_id) of every fingerprint; group is the component's least fingerprint, signed."""
+    rows = tables.cut(fingerprints(docs, id_col, text_col, shingle))
+    nodes = tables.cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = tables.cut(connected_components(near_links(nodes.select("fp"), tables, radius, max_tree), tables))
+    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "root")
+    linked = grouped.where("root is not null")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    alone = grouped.where("root is null").select("fp", F.col("fp").alias("group"), F.col("least").alias("component_id"))
+    return rows, alone.unionByName(linked.join(least, "root").select("fp", F.col("root").alias("group"), "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, max_tree: int = 4096) -> DataFrame:
     """(id, fp long, component_id) of every row of docs; component_id is the least id reachable over links.
 
@@ -177,26 +190,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no rows; other columns of docs aren't read. Equal fingerprints are one node, so groups of copies
     cost one row each after the first aggregation.
     """
-    tables = Tables(docs.sparkSession, "simhash")
-    rows = tables.cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = tables.cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = tables.cut(connected_components(near_links(nodes.select("fp"), tables, radius, max_tree), tables))
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "root")
-    linked = grouped.where("root is not null")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = grouped.where("root is null").select("fp", F.col("least").alias("component_id")).unionByName(linked.join(least, "root").select("fp", "component_id"))
+    rows, labels = _groups(docs, Tables(docs.sparkSession, "simhash"), id_col, text_col, shingle, radius, max_tree)
     return rows.join(labels, "fp").select("id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, max_tree: int = 4096) -> DataFrame:
     """The rows of docs with one of each group of near-duplicates: that with the least id; all columns stay.
 
-    Rows without an id are kept once for each fingerprint. A row that is repeated with its id stays once.
+    A row without an id stays only where no row of its group has one; of rows that share an id or
+    have none, the one with the least text stays. Different texts under one id are told apart by
+    their groups, so none of them is lost.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark, "simhash-kept")
-    groups = tables.cut(near_duplicates(docs, id_col, text_col, **how))
-    keep = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    kept = docs.join(keep.withColumnRenamed("id", "__keep"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    count = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).agg(F.count("*"), F.countDistinct(F.coalesce("id", F.lit(-1)))).first()
-    return kept if count[0] == count[1] else kept.dropDuplicates([id_col])
+    tables = Tables(docs.sparkSession, "simhash-kept")
+    rows, labels = _groups(docs, tables, id_col, text_col, shingle, radius, max_tree)
+    labels = tables.cut(labels)
+    own = F.col(f"`{id_col}`").cast("long")
+    if rows.agg(F.count("*") == F.countDistinct("id")).first()[0]:
+        return docs.join(labels.select(F.col("component_id").alias("__keep")), own == F.col("__keep"), "left_semi")
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    # Ids don't tell rows apart here: each group's row is found by fingerprint, aggregated before it is shuffled.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(own.isNull(), own, F.col(f"`{text_col}`")).alias("rank"), print_of(as_bytes(text_col)).alias("fp"))
+    return whole.join(labels.select("fp", "group"), "fp").groupBy("group").agg(F.min_by("row", "rank").alias("row")).select("row.*")

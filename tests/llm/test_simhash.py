@@ -89,3 +89,15 @@ def test_awkward_rows(awkward, empty):
     assert kept.columns == awkward.columns
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 1), (False, 2), (False, 5), (True, None)]
     assert simhash.one_of_each(empty).collect() == []
+
+
+def test_one_row_stays_of_each_group_where_ids_repeat_or_are_null(spark):
+    a, b, c, d = ("one two three four five", "alpha beta gamma delta", "red green blue grey black", "north east south west")
+    rows = [(1, a, "x"), (1, b, "y"), (None, a, "z"), (None, c, "u"), (None, d, "v"), (None, d, "v"), (2, b, "w")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a, "x"), (1, b, "y"), (None, c, "u"), (None, d, "v")], key=str)
+
+
+def test_one_row_stays_of_each_group_of_unique_ids(spark):
+    texts = ["a b c d", "a b c d", None, "", "e f g h"]
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(spark, texts)).collect()) == [0, 2, 4]
