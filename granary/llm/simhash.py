@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -203,14 +203,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     tables = Tables(docs.sparkSession, "simhash-kept")
     rows, labels = _groups(docs, tables, id_col, text_col, shingle, radius, max_tree)
-    labels = tables.cut(labels)
+    return least_rows(docs, rows, tables.cut(labels), lambda text: fingerprint(text, shingle), id_col, text_col)
+
+
+def least_rows(docs: DataFrame, rows: DataFrame, labels: DataFrame, node_of: Callable[[bytes | None], int], id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that one_of_each keeps of groups: rows (id, fp), labels (fp, group, component_id); node_of gives a text's fp."""
     own = F.col(f"`{id_col}`").cast("long")
     if rows.agg(F.count("*") == F.countDistinct("id")).first()[0]:
         return docs.join(labels.select(F.col("component_id").alias("__keep")), own == F.col("__keep"), "left_semi")
 
     @F.pandas_udf("long")
     def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
+        return pd.Series(np.fromiter((node_of(t) for t in texts), np.uint64, len(texts)).view(np.int64))
 
     # Ids don't tell rows apart here: each group's row is found by fingerprint, aggregated before it is shuffled.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(own.isNull(), own, F.col(f"`{text_col}`")).alias("rank"), print_of(as_bytes(text_col)).alias("fp"))
