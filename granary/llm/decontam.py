@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.llm._common import as_bytes, bounded_batches
 
-#: Words of a shingle, and the share of an item's shingles (and of the words of its question and of its answer) that a passage must hold.
+#: Words of a shingle, and the share of an item's shingles (and, if it has both, of the words of its question and of its answer) that a passage must hold.
 SHINGLE, OVERLAP = 5, 0.8
 #: Postings of a block of the index.
 BLOCK = 32
@@ -22,8 +22,6 @@ BLOCK = 32
 INDEX_BYTES = 16 << 20
 #: BM25's parameters.
 K1, B = 1.2, 0.75
-#: Share of an item's words that is its question where the item doesn't say.
-QUESTION = 2 / 3
 
 _FOLD = bytes(ord(" ") if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or c in range(9, 14) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -74,17 +72,16 @@ def _size(n_words: int) -> int:
 
 
 def build_index(items: list[tuple[int, str, str | None]]) -> Index:
-    """items: (id, question, answer); without an answer the last third of the words is it."""
+    """items: (id, question, answer)."""
     index, terms = Index([]), []
     for key, question, answer in items:
         q = words_of((question or "").encode())
         a = words_of((answer or "").encode())
-        cut = len(q) if a else math.ceil(QUESTION * len(q))
         if words := q + a:
             ids = tuple(index.words.setdefault(w, len(index.words)) for w in words)
             index.ids.append(key)
             index.items.append(ids)
-            index.question.append(cut)
+            index.question.append(len(q))
             terms.append(Counter((_size(len(ids)), *t) for t in zip(*[ids[k:] for k in range(_size(len(ids)))])))
     n, df = len(terms), Counter(t for c in terms for t in c)
     mean = sum(map(len, index.items)) / max(1, n)
@@ -152,26 +149,27 @@ def block_max_wand(index: Index, terms: list[int], threshold: float = 1.0) -> li
     return found
 
 
-def verify(index: Index, item: int, passage: np.ndarray) -> tuple[float, float, float] | None:
+def verify(index: Index, item: int, passage: np.ndarray) -> tuple[float, float | None, float | None] | None:
     """Shares of the item's shingles, question words and answer words that the passage holds; None if one is below OVERLAP.
 
-    A word is held if a shingle that covers it is.
+    A word is held if a shingle that covers it is. Of an item without a question or without an answer
+    only the share of shingles decides; the share of what it lacks is None.
     """
     ids = index.items[item]
     size, cut = _size(len(ids)), index.question[item]
     there = {tuple(t) for t in zip(*[passage[k:].tolist() for k in range(size)])}
     hit = [t in there for t in zip(*[ids[k:] for k in range(size)])]
     covered = [any(hit[max(0, i - size + 1) : i + 1]) for i in range(len(ids))]
-    shares = (sum(hit) / len(hit), sum(covered[:cut]) / max(1, cut), sum(covered[cut:]) / (len(ids) - cut) if cut < len(ids) else 1.0)
-    return shares if min(shares) >= OVERLAP - 1e-9 else None
+    shares = (sum(hit) / len(hit), sum(covered[:cut]) / cut if cut else None, sum(covered[cut:]) / (len(ids) - cut) if cut < len(ids) else None)
+    return shares if min(shares[:1] if None in shares else shares) >= OVERLAP - 1e-9 else None
 
 
-def matches(index: Index, words: list[bytes]) -> dict[int, tuple[float, float, float, float]]:
+def matches(index: Index, words: list[bytes]) -> dict[int, tuple[float, float, float | None, float | None]]:
     """Items that a text's passages hold: item to score and shares, the best passage's.
 
     Passages are 2 * longest words and start every longest words: any place of an item lies whole in one.
     """
-    found: dict[int, tuple[float, float, float, float]] = {}
+    found: dict[int, tuple[float, float, float | None, float | None]] = {}
     get = index.words.get
     ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
     known = ids >= 0
@@ -225,7 +223,7 @@ def indexes(items: DataFrame, id_col: str = "item_id", question: str = "text", a
 def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", question: str = "text", answer: str | None = None) -> DataFrame:
     """(id, item_id, score, shingle_overlap, question_overlap, answer_overlap) for every row of docs and item that one of its passages holds.
 
-    score is BM25 over the item's threshold. Null and empty texts and items match nothing; items of
+    score is BM25 over the item's threshold; a share of what the item lacks is null. Null and empty texts and items match nothing; items of
     under five words are matched as one shingle; a null id stays null; repeated rows and items match
     each; empty tables give no rows; other columns aren't read. The items must be far fewer than the
     documents, as every part of INDEX_BYTES is one pass over them.

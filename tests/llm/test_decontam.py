@@ -94,3 +94,11 @@ def test_awkward_rows(spark, awkward, empty):
     assert decontam.contaminations(empty, bench).collect() == []
     none = items(spark, [])
     assert decontam.decontaminated(awkward, none).count() == awkward.count()
+
+
+def test_the_shingles_alone_decide_where_question_or_answer_lacks(spark):
+    words = [f"w{i}" for i in range(36)]
+    rows = decontam.contaminations(docs(spark, [" ".join(words[:33]), " ".join(words[:28])]), items(spark, [(1, " ".join(words))])).collect()
+    assert [(r["id"], r["shingle_overlap"], r["question_overlap"], r["answer_overlap"]) for r in rows] == [(0, 29 / 32, 33 / 36, None)]
+    index = decontam.build_index([(1, None, " ".join(words)), (2, " ".join(words), "")])
+    assert sorted(decontam.matches(index, decontam.words_of(" ".join(words[:33]).encode()))) == [0, 1]
