@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +24,18 @@ BUCKETS, MATRIX_BYTES = 1 << 16, 64 << 20
 BLOCK = 1 << 18
 #: The most by which one document's log-odds count, in n-grams: the posterior of long texts isn't simply 1.
 TEMPER = 50.0
+#: A floor lies so many nats an n-gram below the lowest twentieth of a language's held-out rows, of which it needs FLOOR_DOCS; shorter texts have none.
+MARGIN, FLOOR_DOCS, FLOOR_GRAMS = 2.0, 20, 300
 
 
 @dataclass
 class Model:
-    """langs in order, log priors, and log probabilities by bucket and language."""
+    """langs in order, log priors, log probabilities by bucket and language, and the least mean log probability of a text's n-grams by language."""
 
     langs: list[str]
     prior: np.ndarray
     logp: np.ndarray
+    floor: np.ndarray | None = None
 
 
 def hashed(points: np.ndarray, n: int, buckets: int) -> np.ndarray:
@@ -108,8 +111,8 @@ def learn(labelled: DataFrame, tables: Tables, id_col: str, text_col: str, lang_
     return Model(langs, np.log(docs / docs.sum()), np.ascontiguousarray(np.log(total / total.sum(axis=0))))
 
 
-def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and tempered posterior of every text; UNKNOWN and 0 if it has no letter."""
+def likelihoods(texts: list[str | None], model: Model) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of the texts with a letter: their places, log likelihoods by language, and numbers of n-grams."""
     known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     sums, n = np.zeros((len(known), len(model.langs))), np.zeros(len(known))
     for bucket, owner in grams([texts[i] for i in known], len(model.logp)):
@@ -117,12 +120,23 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             sums[owner[first]] += np.add.reduceat(model.logp[bucket], first, axis=0)
             n[owner[first]] += np.diff(np.append(first, len(owner)))
+    return known, sums, n
+
+
+def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
+    """Language and tempered posterior of every text; UNKNOWN and 0 if it has no letter, or if it is below its language's floor."""
+    known, sums, n = likelihoods(texts, model)
     full = sums + model.prior
     best = full.argmax(axis=1) if len(known) else np.empty(0, int)
+    below = np.zeros(len(known), bool)
+    if model.floor is not None:
+        below = (n >= FLOOR_GRAMS) & (sums[np.arange(len(known)), best] < model.floor[best] * n)
     sums = sums * np.minimum(1, TEMPER / np.maximum(n, 1))[:, None] + model.prior
     sums = np.exp(sums - sums.max(axis=1, keepdims=True)) if len(known) else sums
     langs, out = [UNKNOWN] * len(texts), np.zeros(len(texts))
     for row, i in enumerate(known):
+        if below[row]:
+            continue
         langs[i], out[i] = model.langs[best[row]], sums[row, best[row]] / sums[row].sum()
     return langs, out
 
@@ -160,3 +174,32 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> Model | None:
     """A model of the rows of docs that aren't held out."""
     return learn(docs.where(~held_out(id_col)), Tables(docs.sparkSession, "langid"), id_col, text_col, lang_col, **how)
+
+
+def with_floors(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Model | None:
+    """The model with floors by language, learned from labelled held-out rows: the counts haven't seen those, so few of them don't look likelier than they are.
+
+    About `most` rows a language are read. A language that fewer than FLOOR_DOCS of them are taken for has no floor.
+    """
+    if model is None:
+        return None
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.where(held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
+    share = most * len(model.langs) / max(1, rows.count())
+    rows = rows.where(F.pmod(F.xxhash64(f"`{id_col}`", f"`{text_col}`"), F.lit(1 << 30)) < share * (1 << 30))
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, sums, n = likelihoods(batch.column(0).to_pylist(), shared.value)
+            long = n >= FLOOR_GRAMS
+            best = (sums + shared.value.prior)[long].argmax(axis=1) if long.any() else np.empty(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.int64()), pa.array(sums[long][np.arange(len(best)), best] / n[long])], ["lang", "mean"])
+
+    floor = np.full(len(model.langs), -np.inf)
+    means = rows.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "lang long, mean double")
+    for r in means.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("mean", 0.05).alias("low")).collect():
+        if r["n"] >= FLOOR_DOCS:
+            floor[r["lang"]] = r["low"] - MARGIN
+    return replace(model, floor=floor)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -55,3 +56,25 @@ def test_awkward_rows(spark, awkward, empty, labelled):
     assert len(rows) == len(AWKWARD)
     assert all((r["lang_pred"], r["lang_score"]) == ("und", 0.0) for r in rows if not labelled or not r["text"] or not r["text"].strip())
     assert langid.identify(empty, model).collect() == []
+
+
+def test_the_stage_rejects_what_was_never_learned(spark):
+    """Other scripts and letter noise go; clean and short texts stay; without floors all of them passed."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    prose = lambda words: " ".join(rng.choices(words, k=120))
+    noise = lambda chars: " ".join("".join(rng.choices(chars, k=rng.randint(2, 9))) for _ in range(120))
+    one, two = "the of and house water little great people under where".split(), "der und nicht wasser haus klein gross leute unter wo".split()
+    rows = [(i, prose(one if i % 2 else two), "en" if i % 2 else "de") for i in range(600)]
+    rows += [(1000, noise("абвгдежзиклмнопрст"), "en"), (1001, noise("abcdefghijklmnopqrstuvwxyz"), "de"), (1002, "абв где", None), (1003, "qx zv", "en"), (1004, prose(one), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, df, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(600), 1002, 1003, 1004]
+    assert langid.train(df).floor is None  # op8_language_id has none
+
+
+def test_few_held_out_rows_give_no_floor(spark):
+    df = spark.createDataFrame([(i, "abc def " * 100, "a") for i in range(40)] + [(99, "где " * 200, None)], "doc_id long, text string, lang string")
+    model = langid.with_floors(df, langid.train(df))
+    assert model.floor.tolist() == [-np.inf] and langid.score(["где " * 200], model)[0] == ["a"]
