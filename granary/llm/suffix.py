@@ -2,10 +2,12 @@
 
 Every window of `length` bytes has an anchor, the leftmost least hash of its K-grams; equal windows
 have equal anchors at equal offsets. So only suffixes that start at anchors (about 2 in 370
-positions) are gathered, each with the text before it as far as a window can reach:
+positions for 400 bytes) are gathered, each with the text before it as far as a window can reach.
+Several lengths go through one pass: anchors are those of the shortest, and a longer window has the
+anchor of the shortest window that it starts with.
 
 1. Anchors with all their context equal elsewhere settle themselves by counting context hashes.
-2. The others meet in two cells, by the bytes that all windows of an offset range share (216 of 400).
+2. The others meet in two cells, by the bytes that all windows of an offset range share (216 of 400 bytes).
    A cell with one context is done. The contexts of the rest are fetched, range-partitioned by
    their leading bytes with sampled splitters, and each bucket sorts its suffixes, and the reversed
    texts before the anchors, by multikey quicksort; windows at an offset are equal if no common
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from granary.llm._common import Tables, as_bytes, bounded_batches, partitions
 
 LENGTH, K = 400, 32
+#: Bytes that a passage of over 50 words has at least, but for one in forty: what the pipeline's stage removes, and what op4's further column tells.
+PASSAGE = 256
 #: Most contexts of a cell that one bucket sorts, and rows of a bucket on average.
 MAX_CELL, BUCKET_ROWS = 20_000, 12_000
 #: Bytes that are searched for anchors at once, and anchors among which a task combines equal contexts.
@@ -144,16 +148,16 @@ def _common(order: np.ndarray, group: np.ndarray, matrix: np.ndarray, sizes: np.
     return lcp
 
 
-def settle(cell: np.ndarray, which: np.ndarray, before: list[bytes], after: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest offset (-1: none) at which a context's window equals another's of its cell.
+def settle(cell: np.ndarray, which: np.ndarray, before: list[bytes], after: list[bytes], lengths: tuple[int, ...] = (LENGTH,), k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the least and largest offset (-1: none) at which a context's window equals another's of its cell.
 
     cell: the cell's number; which: 0 or 1, the offset range; before: bytes before the anchor (as
-    far as a window reaches), after: bytes from the anchor on. All windows of a context hold its
-    anchor, so those found make one run of bytes.
+    far as the shortest window reaches), after: bytes from the anchor on. All windows of a context
+    hold its anchor, so those found make one run of bytes.
     """
-    n, reach = len(cell), length - k
+    n, reach, longest = len(cell), min(lengths) - k, max(lengths)
     half = reach // 2
-    left, right = np.zeros((n, -(-reach // 8) * 8), np.uint8), np.zeros((n, -(-length // 8) * 8), np.uint8)
+    left, right = np.zeros((n, -(-reach // 8) * 8), np.uint8), np.zeros((n, -(-longest // 8) * 8), np.uint8)
     nl, nr = np.fromiter(map(len, before), np.int64, n), np.fromiter(map(len, after), np.int64, n)
     for i in range(n):
         left[i, : nl[i]] = np.frombuffer(before[i], np.uint8)[::-1]
@@ -161,22 +165,24 @@ def settle(cell: np.ndarray, which: np.ndarray, before: list[bytes], after: list
     ol, orr = quicksort_order(cell, _tokens(left)), quicksort_order(cell, _tokens(right))
     ll, lr = _common(ol, cell, left, nl), _common(orr, cell, right, nr)
     head_l, head_r = np.concatenate(([True], cell[ol][1:] != cell[ol][:-1])), np.concatenate(([True], cell[orr][1:] != cell[orr][:-1]))
-    least, most = np.full(n, -1), np.full(n, -1)
+    found = [(np.full(n, -1), np.full(n, -1)) for _ in lengths]
     for o in range(reach + 1):
-        own = ((which == 0) & (o <= half) | (which == 1) & (o >= half)) & (nl >= o) & (nr >= length - o)
-        if not own.any():
-            continue
-        a, b = np.empty(n, np.int64), np.empty(n, np.int64)
+        ranged = ((which == 0) & (o <= half) | (which == 1) & (o >= half)) & (nl >= o)
+        a = np.empty(n, np.int64)
         a[ol] = np.cumsum(head_l | (ll < o))
-        b[orr] = np.cumsum(head_r | (lr < length - o))
-        rows = np.flatnonzero(own)
-        both = a[rows] * (n + 1) + b[rows]
-        by = np.argsort(both, kind="stable")
-        same = both[by][1:] == both[by][:-1]
-        dup = rows[by[np.append(False, same) | np.append(same, False)]]
-        least[dup] = np.where(least[dup] < 0, o, least[dup])
-        most[dup] = o
-    return least, most
+        for length, (least, most) in zip(lengths, found):
+            rows = np.flatnonzero(ranged & (nr >= length - o))
+            if not len(rows):
+                continue
+            b = np.empty(n, np.int64)
+            b[orr] = np.cumsum(head_r | (lr < length - o))
+            both = a[rows] * (n + 1) + b[rows]
+            by = np.argsort(both, kind="stable")
+            same = both[by][1:] == both[by][:-1]
+            dup = rows[by[np.append(False, same) | np.append(same, False)]]
+            least[dup] = np.where(least[dup] < 0, o, least[dup])
+            most[dup] = o
+    return found
 
 
 def _rows(names: str, rows: list[tuple], kinds: str = "") -> pa.RecordBatch:
@@ -185,7 +191,7 @@ def _rows(names: str, rows: list[tuple], kinds: str = "") -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if kind == "b" else pa.int64()) for c, kind in zip(cols, kinds or "l" * len(cols))], names.split())
 
 
-def _find_anchors(length: int, k: int):
+def _find_anchors(length: int, longest: int, k: int):
     reach, half = length - k, (length - k) // 2
     names = "t1 t2 pos first last c1 c2 k0 k1 n"
 
@@ -206,7 +212,7 @@ def _find_anchors(length: int, k: int):
                 text = texts[i]
                 t1, t2 = _two(text)
                 for a in at.tolist():
-                    lo, hi = max(0, a - reach), min(len(text), a + length)
+                    lo, hi = max(0, a - reach), min(len(text), a + longest)
                     c = _two(text[lo:hi], a - lo)
                     if (known := seen.get(c)) is not None:
                         known[9] += 1
@@ -240,23 +246,26 @@ def _in(bits: np.ndarray, t1: int) -> bool:
     return bool(bits[at] >> (position % 8) & 1)
 
 
-def repeated_spans(docs: DataFrame, text_col: str, tables: Tables, length: int = LENGTH, k: int = K, max_cell: int = MAX_CELL) -> DataFrame:
-    """(t1, t2, spans array<struct<s, e>>): what to remove from the texts with that 128-bit name."""
+def repeated_spans(docs: DataFrame, text_col: str, tables: Tables, lengths: tuple[int, ...] = (LENGTH,), k: int = K, max_cell: int = MAX_CELL) -> DataFrame:
+    """(t1, t2, spans array<struct<l, s, e>>): what windows of l bytes that start elsewhere too cover in the texts with that 128-bit name."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    length, longest = min(lengths), max(lengths)
     half, reach = (length - k) // 2, length - k
     texts = docs.select(as_bytes(text_col).alias("text"))
-    run, schema = _find_anchors(length, k)
+    run, schema = _find_anchors(length, longest, k)
     found = tables.cut(texts.mapInArrow(run, schema))
     kept = found.where("n is not null").repartition(partitions(spark), "c1", "c2")
-    counts = kept.groupBy("c1", "c2").agg(F.sum("n").alias("all"), F.min(F.struct("t1", "t2", "pos", "first", "last", "k0", "k1")).alias("r"))
+    counts = kept.groupBy("c1", "c2").agg(F.sum("n").alias("all"), F.min(F.struct("t1", "t2", "pos", "k0", "k1")).alias("r"))
     whole = kept.join(counts.where("all > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("t1", "t2", F.col("first").alias("s"), F.col("last").alias("e"))
-    cells = counts.select("r.*", (F.col("all") == 1).alias("open")).select("t1", "t2", "pos", "first", "last", "open", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("k0").alias("key")), F.struct(F.lit(1).alias("w"), F.col("k1").alias("key")))).alias("c")).select("t1", "t2", "pos", "first", "last", "open", "c.w", "c.key").where("key is not null")
+    cells = counts.select("r.t1", "r.t2", "r.pos", "r.k0", "r.k1", (F.col("all") == 1).alias("open")).select("t1", "t2", "pos", "open", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("k0").alias("key")), F.struct(F.lit(1).alias("w"), F.col("k1").alias("key")))).alias("c")).select("t1", "t2", "pos", "open", "c.w", "c.key").where("key is not null")
     shared = cells.groupBy("key", "w").agg(F.count("*").alias("m"), F.max("open").alias("any_open")).where("m > 1 and any_open").select("key", "w", (F.col("m") > max_cell).alias("hot"))
     # Another key than the aggregation's, so that both sides are shuffled for the join and a hot cell's side can be split.
     again = F.col("key").bitwiseXOR(F.lit(0x5BD1E995))
-    met = tables.cut(cells.withColumn("j", again).join(shared.select(again.alias("j"), "w", "hot"), ["j", "w"]).select("t1", "t2", "pos", "first", "last", "open", "w", "key", "hot"))
-    covered = tables.cut(whole.unionByName(found.where("n is null").select("t1", "t2", F.col("first").alias("s"), F.col("last").alias("e"))).distinct())
+    met = tables.cut(cells.withColumn("j", again).join(shared.select(again.alias("j"), "w", "hot"), ["j", "w"]).select("t1", "t2", "pos", "open", "w", "key", "hot"))
+    each = F.explode(F.array(*[F.lit(x).cast("long") for x in lengths]))
+    covered = whole.unionByName(found.where("n is null").select("t1", "t2", F.col("first").alias("s"), F.col("last").alias("e"))).distinct()
+    covered = tables.cut(covered.select("t1", "t2", each.alias("l"), "s", "e").where("e - s >= l"))
     tables.drop(found)
 
     n_met = met.agg(F.count("*"), F.count_if("hot")).first()
@@ -275,7 +284,7 @@ def repeated_spans(docs: DataFrame, text_col: str, tables: Tables, length: int =
             if out:
                 yield _rows("t1 t2 z", out, "llb")
 
-    asked = met.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "first", "last", "open", "w", "key", "hot")).alias("at"))
+    asked = met.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "open", "w", "key", "hot")).alias("at"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["t1", "t2", "pos", "cut", "open", "w", "key", "hot", "lead", "context"]
@@ -286,8 +295,8 @@ def repeated_spans(docs: DataFrame, text_col: str, tables: Tables, length: int =
             for i in range(batch.num_rows):
                 text = zstandard.decompress(batch.column(2)[i].as_py())
                 for c in batch.column(3)[i].as_py():
-                    from_ = c["pos"] - (half if c["w"] else 0)
-                    out.append((t1[i], t2[i], c["pos"], c["pos"] - c["first"], c["open"], c["w"], c["key"], c["hot"], int.from_bytes(text[from_ : from_ + 8], "big", signed=True), text[c["first"] : c["last"]]))
+                    from_, first = c["pos"] - (half if c["w"] else 0), max(0, c["pos"] - reach)
+                    out.append((t1[i], t2[i], c["pos"], c["pos"] - first, c["open"], c["w"], c["key"], c["hot"], int.from_bytes(text[from_ : from_ + 8], "big", signed=True), text[first : c["pos"] + longest]))
                 if len(out) >= 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names)
                     out = []
@@ -307,21 +316,22 @@ def repeated_spans(docs: DataFrame, text_col: str, tables: Tables, length: int =
         cell = np.unique(names[:2, once], axis=1, return_inverse=True)[1].ravel()
         context = table["context"].take(pa.array(once)).to_pylist()
         cut = col["cut"][once].tolist()
-        least, most = settle(cell, col["w"][once], [x[:c] for x, c in zip(context, cut)], [x[c:] for x, c in zip(context, cut)], length, k)
-        hit = np.flatnonzero((most >= 0) & col["open"][once])
-        if len(hit):
-            rows = once[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col["t1"][rows], col["t2"][rows], col["pos"][rows] - most[hit], col["pos"][rows] + length - least[hit])], ["t1", "t2", "s", "e"])
+        settled = settle(cell, col["w"][once], [x[:c] for x, c in zip(context, cut)], [x[c:] for x, c in zip(context, cut)], lengths, k)
+        for size, (least, most) in zip(lengths, settled):
+            hit = np.flatnonzero((most >= 0) & col["open"][once])
+            if len(hit):
+                rows = once[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col["t1"][rows], col["t2"][rows], np.full(len(hit), size), col["pos"][rows] - most[hit], col["pos"][rows] + size - least[hit])], ["t1", "t2", "l", "s", "e"])
 
     buckets = max(1, -(-(n_met[0] - n_met[1]) // BUCKET_ROWS))
     by_bucket = context.where("not hot").repartitionByRange(buckets, "lead", "key", "w")
-    spans = covered.unionByName(by_bucket.select("t1", "t2", "pos", "cut", "open", "w", "key", "context").mapInArrow(sort, "t1 long, t2 long, s long, e long"))
+    spans = covered.unionByName(by_bucket.select("t1", "t2", "pos", "cut", "open", "w", "key", "context").mapInArrow(sort, "t1 long, t2 long, l long, s long, e long"))
     if n_met[1]:
-        spans = spans.unionByName(_counted(context.where("hot"), tables, length, half, reach))
+        spans = spans.unionByName(_counted(context.where("hot"), tables, lengths, half, reach))
     return _gathered(spans)
 
 
-def _counted(context: DataFrame, tables: Tables, length: int, half: int, reach: int) -> DataFrame:
+def _counted(context: DataFrame, tables: Tables, lengths: tuple[int, ...], half: int, reach: int) -> DataFrame:
     """Spans of contexts of hot cells: all windows of the cell's offsets are counted by a 128-bit hash."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,24 +340,23 @@ def _counted(context: DataFrame, tables: Tables, length: int, half: int, reach:
             for r in batch.to_pylist():
                 x, cut = r["context"], r["cut"]
                 lo, hi = (half, reach) if r["w"] else (0, half)
-                out += [(r["t1"], r["t2"], r["pos"], o, *_two(x[cut - o : cut - o + length])) for o in range(lo, hi + 1) if o <= cut and len(x) - cut + o >= length]
+                out += [(r["t1"], r["t2"], size, r["pos"] - o, *_two(x[cut - o : cut - o + size], size)) for size in lengths for o in range(lo, hi + 1) if o <= cut and len(x) - cut + o >= size]
                 if len(out) > 50_000:
-                    yield _rows("t1 t2 pos o h1 h2", out)
+                    yield _rows("t1 t2 l s h1 h2", out)
                     out = []
             if out:
-                yield _rows("t1 t2 pos o h1 h2", out)
+                yield _rows("t1 t2 l s h1 h2", out)
 
-    rows = context.dropDuplicates(["t1", "t2", "pos", "w"]).mapInArrow(windows, "t1 long, t2 long, pos long, o long, h1 long, h2 long")
-    rows = rows.select("t1", "t2", (F.col("pos") - F.col("o")).alias("s"), "h1", "h2")
-    rows = tables.cut(rows.dropDuplicates(["t1", "t2", "s"]))  # a window can hold two hot anchors
+    rows = context.dropDuplicates(["t1", "t2", "pos", "w"]).mapInArrow(windows, "t1 long, t2 long, l long, s long, h1 long, h2 long")
+    rows = tables.cut(rows.dropDuplicates(["t1", "t2", "l", "s"]))  # a window can hold two hot anchors
     other = F.col("h1").bitwiseXOR(F.lit(0x5BD1E995))  # as above: a hot window's rows can be split
     again = rows.groupBy("h1", "h2").count().where("count > 1").select(other.alias("j"), "h2")
-    return rows.withColumn("j", other).join(again, ["j", "h2"]).select("t1", "t2", "s", (F.col("s") + length).alias("e"))
+    return rows.withColumn("j", other).join(again, ["j", "h2"]).select("t1", "t2", "l", "s", (F.col("s") + F.col("l")).alias("e"))
 
 
 def _gathered(spans: DataFrame) -> DataFrame:
     """A text's spans are as many as its own bytes allow, however many copies it has."""
-    return spans.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    return spans.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("l", "s", "e"))).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -360,18 +369,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K, max_cell: int = MAX_CELL, as_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K, max_cell: int = MAX_CELL, as_text: bool = False, also: int | None = None) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (long), and kept in place of the text: bytes, or text if asked, where code points that lost bytes go.
 
     Removed is every byte of a string of `length` bytes that also starts anywhere else in the column;
-    all places go, the first too. Null texts are empty; texts shorter than `length` stay whole; equal
+    all places go, the first too. also: a second, shorter length, by which nothing is removed; n_repeated
+    (long), which is there only if it is asked for, says how many bytes that rule covers. Null texts are empty; texts shorter than `length` stay whole; equal
     rows lose what they share; ids play no part; an empty table gives no rows; columns with these
     names in docs are replaced, others stay.
     """
     spark = docs.sparkSession
-    tables = Tables(spark, "suffix")
-    docs = docs.drop(*[c for c in ("n_bytes", "n_removed", "n_spans", "kept") if c != text_col])
-    spans = tables.cut(repeated_spans(docs, text_col, tables, length, k, max_cell))
+    tables, added, least = Tables(spark, "suffix"), ["n_bytes", "n_removed", "n_spans", *["n_repeated"] * bool(also)], min(length, also or length)
+    docs = docs.drop(*[c for c in (*added, "kept") if c != text_col])
+    spans = tables.cut(repeated_spans(docs, text_col, tables, (length, also) if also else (length,), k, max_cell))
     bits = spark.sparkContext.broadcast(_filter_bits(tables, spans.select("t1")))
     rest = [c for c in docs.columns if c != text_col]
     row = docs.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("row"), as_bytes(text_col).alias("text"))
@@ -387,7 +397,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
                 take, t1, t2, out = [], [], [], []
                 for i, x in enumerate(batch.column(1)):
                     text = x.as_py() or b""
-                    t = _two(text) if len(text) >= length else None
+                    t = _two(text) if len(text) >= least else None
                     if (t is not None and _in(mine, t[0])) == inside:
                         take.append(i)
                         t1.append(t[0] if t else None)
@@ -398,7 +408,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
                     yield pa.RecordBatch.from_arrays([rows, pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(out, pa.binary())], ["row", "t1", "t2", "z"])
                 else:
                     zero = pa.array(np.zeros(len(take), np.int64))
-                    yield pa.RecordBatch.from_arrays([rows, pa.array([len(x) for x in out], pa.int64()), zero, zero, given(out)], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+                    yield pa.RecordBatch.from_arrays([rows, pa.array([len(x) for x in out], pa.int64()), *[zero] * (len(added) - 1), given(out)], ["row", *added, "kept"])
 
         return run
 
@@ -407,16 +417,18 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
             out = []
             for z, spans in zip(batch.column(1), batch.column(2)):
                 text, at, parts = zstandard.decompress(z.as_py()), 0, []
-                runs = merged([(x["s"], x["e"]) for x in spans.as_py() or []])
+                spans = spans.as_py() or []
+                runs = merged([(x["s"], x["e"]) for x in spans if x["l"] == length])
                 for s, e in runs:
                     parts.append(text[at:s])
                     at = e
                 kept = b"".join([*parts, text[at:]])
-                out.append((len(text), len(text) - len(kept), len(runs), kept))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[given(c) if i == 3 else pa.array(c, pa.int64()) for i, c in enumerate(cols)]], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+                repeated = [sum(e - s for s, e in merged([(x["s"], x["e"]) for x in spans if x["l"] == also]))] if also else []
+                out.append((len(text), len(text) - len(kept), len(runs), *repeated, kept))
+            *counts, kept = list(zip(*out)) or [[]] * (len(added) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], given(kept)], ["row", *added, "kept"])
 
-    result = f"row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    result = f"row {kind}, n_bytes long, n_removed long, n_spans long{", n_repeated long" if also else ""}, kept {'string' if as_text else 'binary'}"
     same = row.mapInArrow(deal(False), result)
     other = row.mapInArrow(deal(True), f"row {kind}, t1 long, t2 long, z binary").join(spans, ["t1", "t2"], "left").select("row", "z", "spans").mapInArrow(cut, result)
-    return same.unionByName(other).select(*[F.col("row").getField(c).alias(c) for c in rest], "n_bytes", "n_removed", "n_spans", "kept")
+    return same.unionByName(other).select(*[F.col("row").getField(c).alias(c) for c in rest], *added, "kept")

@@ -48,6 +48,14 @@ def test_removed_bytes_match_brute_force(spark, seed, length, k, most):
     assert [got[i] for i in range(len(texts))] == plain(texts, length)
 
 
+@pytest.mark.parametrize(("seed", "length", "also", "k", "most"), [(7, 400, 256, 32, 20_000), (8, 64, 40, 8, 20_000), (9, 64, 40, 8, 3), (10, 64, 40, 8, 2)])
+def test_two_lengths_in_one_pass_match_brute_force(spark, seed, length, also, k, most):
+    texts = planted(random.Random(seed), also) + planted(random.Random(seed), length)
+    rows = suffix.without_repeats(docs(spark, texts).repartition(3), length=length, k=k, max_cell=most, also=also).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["n_repeated"]) for r in rows}
+    assert [got[i] for i in range(len(texts))] == [(*x, y[1]) for x, y in zip(plain(texts, length), plain(texts, also))]
+
+
 def test_anchors_lie_in_every_window_also_over_parts(monkeypatch):
     rng = np.random.default_rng(5)
     text = rng.integers(97, 101, 9000, dtype=np.uint8).tobytes()
