@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,18 +11,20 @@ from pyspark.sql import functions as F
 
 from granary.llm._common import Tables
 
-#: Documents that a (language, source) sketch needs; with fewer the language's merged sketch decides, then that of all.
-MIN_GROUP = 200
+#: How many documents' weight a parent's sketch has in its child's: that of all documents in a language's, and this in a source's.
+PRIOR = 25
 #: Leading bits of a value that a sketch's bucket keeps: a quantile is right within 1 in 32.
 BITS = 6
 #: How far a fence lies beyond the outer quantile, in distances from there to the median.
 REACH = 3
-#: Metric, and the values between which no fence lies: (low, high); None: no fence on that side.
-METRICS: dict[str, tuple[int | None, int | None]] = {
-    "symbol_rate": (None, 100),  # symbols in 1000 characters of words
-    "dup_line_rate": (None, 300),  # repeated lines in 1000 lines
-    "repeat_rate": (None, 300),  # words of repeated windows in 1000 words
-    "word_length": (200, 1200),  # characters in 100 words
+#: Millionths: the precision of a share of a sketch's documents.
+SHARE = 1_000_000
+#: Metric, the sides that have a fence, and the distance that counts where the quantiles' own is less (of many groups it is nothing).
+METRICS: dict[str, tuple[str, int]] = {
+    "symbol_rate": ("high", 10),  # symbols in 1000 characters of words
+    "dup_line_rate": ("high", 100),  # repeated lines in 1000 lines
+    "repeat_rate": ("high", 50),  # words of repeated windows in 1000 words
+    "word_length": ("low high", 10),  # characters in 100 words
 }
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -89,38 +92,49 @@ def sketches(rows: DataFrame, metrics: list[str], groups: list[str]) -> DataFram
     return rows.select(*groups, pairs.alias("m")).groupBy(*groups, "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, n, q10, q50, q90) of merged sketches: the first bucket at which that share of the rows is reached."""
-    merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    own = W.partitionBy(*keys, "metric")
-    ranked = merged.select(*keys, "metric", "bucket", F.sum("n").over(own).alias("n"), F.sum("n").over(own.orderBy("bucket")).alias("upto"))
-    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("n") * tenths, F.col("bucket")))
-    return ranked.groupBy(*keys, "metric").agg(F.max("n").alias("n"), at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"))
-
-
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, metric, low, high) of every group of the sketch."""
-    own = quantiles(sketch, ["lang", "source"])
-    by_lang = quantiles(sketch, ["lang"]).select("lang", "metric", *[F.col(c).alias(f"lang_{c}") for c in ("n", "q10", "q50", "q90")])
-    of_all = quantiles(sketch, []).select("metric", *[F.col(c).alias(f"all_{c}") for c in ("n", "q10", "q50", "q90")])
-    joined = own.join(by_lang.withColumnRenamed("lang", "l").withColumnRenamed("metric", "m"), F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m"))).join(of_all, "metric")
-    for q in ("q10", "q50", "q90"):
-        joined = joined.withColumn(q, F.when(F.col("n") >= min_group, F.col(q)).when(F.col("lang_n") >= min_group, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}")))
-    low, high = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for name, (lo, hi) in METRICS.items():
-        if lo is not None:
-            low = F.when(F.col("metric") == name, F.least(F.lit(lo).cast("long"), F.col("q10") - REACH * (F.col("q50") - F.col("q10")))).otherwise(low)
-        if hi is not None:
-            high = F.when(F.col("metric") == name, F.greatest(F.lit(hi).cast("long"), F.col("q90") + REACH * (F.col("q90") - F.col("q50")))).otherwise(high)
-    fenced = joined.select("lang", "source", "metric", low.alias("low"), high.alias("high"))
-    return fenced.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")])
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+def weighed(sketch: DataFrame, keys: list[str], above: DataFrame | None) -> DataFrame:
+    """(keys, metric, bucket, share): of every group, and every bucket that occurs in any, the share of documents up to it, in millionths.
+
+    above: the same of the level above, (some of keys, metric, bucket, share); it counts like PRIOR
+    documents of the group, so few documents hardly move the shares and many make them their own.
+    """
+    own = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    grid = own.select(*keys, "metric").distinct().join(F.broadcast(sketch.select(F.col("metric").alias("__m"), "bucket").distinct()), F.col("metric") == F.col("__m")).drop("__m")
+    cells = own.unionByName(grid.withColumn("n", F.lit(0).cast("long"))).groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    group = W.partitionBy(*keys, "metric")
+    counted = cells.select(*keys, "metric", "bucket", F.sum("n").over(group).alias("all"), F.sum("n").over(group.orderBy("bucket")).alias("upto"))
+    if above is None:
+        return counted.select(*keys, "metric", "bucket", F.expr(f"upto * {SHARE} div all").alias("share"))
+    parent = above.select(*[F.col(c).alias(f"__{c}") for c in above.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in above.columns if c != "share"]
+    met = counted.join(parent, functools.reduce(Column.__and__, same))
+    return met.select(*keys, "metric", "bucket", F.expr(f"(upto * {SHARE} + {PRIOR} * __share) div (all + {PRIOR})").alias("share"))
+
+
+def quantiles(shares: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, q10, q50, q90) of weighed sketches: the first bucket at which that share is reached."""
+    at = lambda tenths: F.min(F.when(F.col("share") >= tenths * SHARE // 10, F.col("bucket")))
+    return shares.groupBy(*keys, "metric").agg(at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"))
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """(lang, source, metric_low, metric_high of every metric) of every group of the sketch: outer deciles of its weighed sketch, and REACH times their distance to the median."""
+    keys = ["lang", "source"]
+    met = quantiles(weighed(sketch, keys, weighed(sketch, ["lang"], weighed(sketch, [], None))), keys)
+    sides = []
+    for name, (which, least) in METRICS.items():
+        for side in ("low", "high"):
+            far = F.col("q10") - REACH * F.greatest(F.col("q50") - F.col("q10"), F.lit(least)) if side == "low" else F.col("q90") + REACH * F.greatest(F.col("q90") - F.col("q50"), F.lit(least))
+            sides.append(F.max(F.when((F.col("metric") == name) & F.lit(side in which.split()), far)).alias(f"{name}_{side}"))
+    return met.groupBy("lang", "source").agg(*sides)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, the metrics, kept).
 
     base_failed: under 50 words, or over half of them in repeated windows. kept: not base_failed, and
-    every metric within its group's fences; those are learned from the rows that didn't fail. Null
+    every metric within its group's fences; those come from the group's sketch of the rows that didn't
+    fail, merged with its language's and that of all by weight. Null
     language or source is a group of its own; null texts are empty and fail; a null id stays null;
     repeated rows are judged each; an empty table gives no rows; other columns aren't read. Rows
     reach the sketches pre-aggregated, and the join with a hot group's fences can be split.
@@ -136,7 +150,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "repeat_rate": rate(1000, "n_repeat_words", "n_words"),
         "word_length": rate(100, "word_chars", "n_words"),
     })
-    limits = tables.cut(fences(tables.cut(sketches(rows.where("not base_failed"), list(METRICS), ["lang", "source"])), min_group)).withColumnRenamed("lang", "__l").withColumnRenamed("source", "__s")
+    limits = tables.cut(fences(tables.cut(sketches(rows.where("not base_failed"), list(METRICS), ["lang", "source"])))).withColumnRenamed("lang", "__l").withColumnRenamed("source", "__s")
     inside = F.lit(True)
     for m in METRICS:
         inside &= F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True)) & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))

@@ -88,18 +88,21 @@ QUERIES = {f.__name__: f for f in (op1_simhash_neardup, op2_decontaminate, op3_q
 
 def _quality_sql() -> str:
     rates = {"symbol_rate": "1000 * n_symbols // greatest(word_chars, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
-    picked = lambda q: f"CASE WHEN o.n >= {quality.MIN_GROUP} THEN o.{q} WHEN l.n >= {quality.MIN_GROUP} THEN l.{q} ELSE a.{q} END"
-    q10, q50, q90 = map(picked, ("q10", "q50", "q90"))
-    low = " ".join(f"WHEN '{m}' THEN least({lo}, {q10} - {quality.REACH} * ({q50} - {q10}))" for m, (lo, _) in quality.METRICS.items() if lo is not None)
-    high = " ".join(f"WHEN '{m}' THEN greatest({hi}, {q90} + {quality.REACH} * ({q90} - {q50}))" for m, (_, hi) in quality.METRICS.items() if hi is not None)
+    far = lambda side, least: f"q10 - {quality.REACH} * greatest(q50 - q10, {least})" if side == "low" else f"q90 + {quality.REACH} * greatest(q90 - q50, {least})"
+    low, high = (" ".join(f"WHEN '{m}' THEN {far(side, least)}" for m, (sides, least) in quality.METRICS.items() if side in sides.split()) for side in ("low", "high"))
 
-    def level(name: str, keys: str) -> str:
+    def level(name: str, keys: str, above: str, shared: str) -> str:
         by = f"{keys}, metric" if keys else "metric"
-        at = lambda t: f"min(bucket) FILTER (upto * 10 >= n * {t})"
-        return f"""{name} AS (SELECT {by}, max(n) AS n, {at(1)} AS q10, {at(5)} AS q50, {at(9)} AS q90 FROM (
-            SELECT {by}, bucket, sum(c) OVER (PARTITION BY {by}) AS n, sum(c) OVER (PARTITION BY {by} ORDER BY bucket) AS upto
-            FROM (SELECT {by}, bucket, sum(n) AS c FROM sketch GROUP BY {by}, bucket)) GROUP BY {by})"""
-
+        own = ", ".join(f"c.{k}" for k in by.split(", "))
+        same = " AND ".join(f"c.{k} IS NOT DISTINCT FROM p.{k}" for k in [*shared.split(", "), "metric", "bucket"] if k)
+        share = f"(upto * {quality.SHARE} + {quality.PRIOR} * p.share) // (n + {quality.PRIOR})" if above else f"upto * {quality.SHARE} // n"
+        return f"""{name} AS (SELECT {own}, c.bucket, {share} AS share FROM (
+            SELECT {by}, bucket, sum(c) OVER (PARTITION BY {by})::BIGINT AS n, sum(c) OVER (PARTITION BY {by} ORDER BY bucket)::BIGINT AS upto FROM (
+                SELECT {by}, bucket, sum(c) AS c FROM (SELECT {by}, bucket, n AS c FROM sketch
+                    UNION ALL SELECT {", ".join(f"g.{k}" for k in by.split(", "))}, b.bucket, 0 FROM (SELECT DISTINCT {by} FROM sketch) g JOIN (SELECT DISTINCT metric, bucket FROM sketch) b ON g.metric = b.metric) GROUP BY {by}, bucket)) c
+            {f"JOIN {above} p ON {same}" if above else ""})"""
+
+    at = lambda tenths: f"min(bucket) FILTER (share >= {tenths * quality.SHARE // 10})"
     checks = " AND ".join(f"NOT EXISTS (SELECT 1 FROM fence f WHERE f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source AND f.metric = '{m}' AND (r.{m} < f.low OR r.{m} > f.high))" for m in rates)
     return rf"""
     WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -114,9 +117,8 @@ def _quality_sql() -> str:
     r AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, {", ".join(f"{x} AS {m}" for m, x in rates.items())} FROM m),
     cells AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM r WHERE NOT base_failed" for m in rates)}),
     sketch AS (SELECT lang, source, metric, (v >> s) << s AS bucket, count(*) AS n FROM (SELECT *, greatest(length(bin(v)) - {quality.BITS}, 0)::BIGINT AS s FROM cells) GROUP BY ALL),
-    {level("own", "lang, source")}, {level("by_lang", "lang")}, {level("of_all", "")},
-    fence AS (SELECT o.lang, o.source, o.metric, CASE o.metric {low} END AS low, CASE o.metric {high} END AS high
-        FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN of_all a ON o.metric = a.metric)
+    {level("of_all", "", "", "")}, {level("by_lang", "lang", "of_all", "")}, {level("own", "lang, source", "by_lang", "lang")},
+    fence AS (SELECT lang, source, metric, CASE metric {low} END AS low, CASE metric {high} END AS high FROM (SELECT lang, source, metric, {at(1)} AS q10, {at(5)} AS q50, {at(9)} AS q90 FROM own GROUP BY ALL))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {checks}) AS kept FROM r
     """
 

@@ -40,14 +40,46 @@ def test_sketches_merge_and_bound_quantiles(spark):
     rng = random.Random(2)
     rows = [("g" if i % 3 else None, "s", int(rng.lognormvariate(5, 1))) for i in range(3000)]
     df = spark.createDataFrame(rows, "lang string, source string, v long")
-    merged = quality.quantiles(quality.sketches(df, ["v"], ["lang", "source"]), [])
+    over_all = lambda sketch: quality.quantiles(quality.weighed(sketch, [], None), [])
+    merged = over_all(quality.sketches(df, ["v"], ["lang", "source"]))
     one = merged.first()
     values = sorted(r[2] for r in rows)
     for q, name in ((0.1, "q10"), (0.5, "q50"), (0.9, "q90")):
         exact = values[int(q * len(values)) - 1]
         assert one[name] <= exact * 1.001 and exact <= one[name] * 33 / 32 + 1
     halves = quality.sketches(df.where("v % 2 = 0"), ["v"], ["lang", "source"]).unionByName(quality.sketches(df.where("v % 2 = 1"), ["v"], ["lang", "source"]))
-    assert quality.quantiles(halves, []).first() == one
+    assert over_all(halves).first() == one
+
+
+def test_a_group_counts_by_its_size_beside_its_parents(spark):
+    """Of a group of 5 the parent's quantiles hold, of one of 5000 its own; equal to merging the counts by hand."""
+    counts = [("en", "big", 900 + 32 * i, 700) for i in range(3)] + [("en", "small", 960, 5)] + [("en", "other", 10 + i, 400) for i in range(5)] + [(None, None, 33, 1)]
+    sketch = spark.createDataFrame([(a, b, "v", c, n) for a, b, c, n in counts], "lang string, source string, metric string, bucket long, n long")
+    got = {}
+    for r in quality.weighed(sketch, ["lang", "source"], quality.weighed(sketch, ["lang"], quality.weighed(sketch, [], None))).collect():
+        got[r["lang"], r["source"], r["bucket"]] = r["share"]
+    buckets = sorted({c for _, _, c, _ in counts})
+
+    def shares(rows, above):
+        n = sum(x[3] for x in rows)
+        upto = {b: sum(x[3] for x in rows if x[2] <= b) for b in buckets}
+        return {b: (upto[b] * 10**6 + quality.PRIOR * above[b]) // (n + quality.PRIOR) if above else upto[b] * 10**6 // n for b in buckets}
+
+    of_all = shares(counts, None)
+    expected = {}
+    for lang, source in {(a, b) for a, b, _, _ in counts}:
+        own = shares([x for x in counts if x[:2] == (lang, source)], shares([x for x in counts if x[0] == lang], of_all))
+        expected |= {(lang, source, b): v for b, v in own.items()}
+    assert got == expected
+    q = {r["source"]: r["q50"] for r in quality.quantiles(spark.createDataFrame([(*k, "v", v) for k, v in got.items()], "lang string, source string, bucket long, metric string, share long"), ["lang", "source"]).collect()}
+    assert q["big"] >= 900 and q["other"] < 20 and q["small"] < q["big"]
+
+
+def test_groups_get_fences_of_their_own_at_sf001(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = rows.select("lang", "source", quality.measures(F.col("text")).alias("m")).select("lang", "source", F.expr("100 * m.word_chars div greatest(m.w.n_words, 1L)").alias("word_length"), F.expr("0L").alias("symbol_rate"))
+    found = quality.fences(quality.sketches(m, ["word_length", "symbol_rate"], ["lang", "source"])).collect()
+    assert len({r["word_length_high"] for r in found}) > 5 and len({r["word_length_low"] for r in found}) > 5
 
 
 def test_thresholds_follow_the_group(spark):
