@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +37,38 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Items as word ids, postings by shingle in blocks with their largest impact, and what scoring needs.
+    """Items as word numbers, and postings by shingle in blocks with their largest impact: arrays throughout.
 
     A term is a shingle. Impacts are BM25 weights over the item's own threshold, so that every item
     is retrieved from a score of 1 on. The threshold is what is left of the item's full score once
     its heaviest terms are taken away, as many as OVERLAP lets a passage lack: no passage that the
-    verification would accept scores less.
+    verification would accept scores less. A word is known by its 64-bit hash. Beside the ids a word
+    of item text takes about 40 bytes, so an index of INDEX_BYTES of text some 120 MB.
     """
 
     ids: list[int]
-    words: dict[bytes, int] = field(default_factory=dict)
-    items: list[tuple[int, ...]] = field(default_factory=list)
-    question: list[int] = field(default_factory=list)
-    postings: dict[int, list[tuple[int, float]]] = field(default_factory=dict)
-    blocks: dict[int, list[tuple[int, float]]] = field(default_factory=dict)
-    hashes: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    most: np.ndarray = field(default_factory=lambda: np.empty(0))
-    longest: int = 0
+    words: np.ndarray  #: sorted hashes of the items' words; a word's number is its place here
+    item_at: np.ndarray  #: where an item's words begin in item_words, and where the last ends
+    item_words: np.ndarray
+    question: np.ndarray  #: how many of an item's words are its question's
+    hashes: np.ndarray  #: sorted terms
+    at: np.ndarray  #: where a term's postings begin, and where the last's end
+    items: np.ndarray
+    impacts: np.ndarray
+    block_at: np.ndarray  #: the same of its blocks
+    block_last: np.ndarray
+    block_most: np.ndarray
+    most: np.ndarray  #: a term's largest impact
+
+    def __post_init__(self):
+        n = np.diff(self.item_at)
+        self.longest, self.sizes = int(n.max(initial=0)), sorted({_size(int(x)) for x in np.unique(n)})
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+
+    def item(self, i: int) -> np.ndarray:
+        return self.item_words[self.item_at[i] : self.item_at[i + 1]]
 
 
 _MULT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], np.uint64)
@@ -71,47 +86,65 @@ def _size(n_words: int) -> int:
     return max(1, min(SHINGLE, n_words))
 
 
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def build_index(items: list[tuple[int, str, str | None]]) -> Index:
     """items: (id, question, answer)."""
-    index, terms = Index([]), []
-    for key, question, answer in items:
-        q = words_of((question or "").encode())
-        a = words_of((answer or "").encode())
-        if words := q + a:
-            ids = tuple(index.words.setdefault(w, len(index.words)) for w in words)
-            index.ids.append(key)
-            index.items.append(ids)
-            index.question.append(len(q))
-            terms.append(Counter((_size(len(ids)), *t) for t in zip(*[ids[k:] for k in range(_size(len(ids)))])))
-    n, df = len(terms), Counter(t for c in terms for t in c)
-    mean = sum(map(len, index.items)) / max(1, n)
-    postings: dict[tuple, list[tuple[int, float]]] = defaultdict(list)
-    for i, c in enumerate(terms):
-        norm = K1 * (1 - B + B * len(index.items[i]) / mean)
-        weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in c.items()}
-        heavy = sorted((w for t, w in weight.items()), reverse=True)
-        lack = int((1 - OVERLAP) * len(heavy) + 1e-9)
-        threshold = (sum(heavy) - sum(heavy[:lack])) * (1 - 1e-9)
-        for t, w in weight.items():
-            postings[t].append((i, w / threshold))
-    for t, list_ in postings.items():
-        h = int(shingle_hashes(np.array(t[1:]), t[0])[0]) ^ t[0]
-        index.postings[h] = sorted(index.postings.get(h, []) + list_)
-    for h, list_ in index.postings.items():
-        index.blocks[h] = [(list_[min(at + BLOCK, len(list_)) - 1][0], max(w for _, w in list_[at : at + BLOCK])) for at in range(0, len(list_), BLOCK)]
-    index.hashes = np.array(sorted(index.postings), np.uint64)
-    index.most = np.array([max(w for _, w in index.postings[int(h)]) for h in index.hashes])
-    index.longest = max(map(len, index.items), default=0)
-    return index
-
-
-def block_max_wand(index: Index, terms: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
-    """Every item whose summed impacts over terms reach threshold: (item, score).
+    ids, parts, question = [], [], []
+    for key, q, a in items:
+        q, a = words_of((q or "").encode()), words_of((a or "").encode())
+        if q or a:
+            ids.append(key)
+            parts.append(_word_hashes(q + a))
+            question.append(len(q))
+    n = len(ids)
+    lengths = np.fromiter(map(len, parts), np.int64, n)
+    item_at = np.concatenate(([0], np.cumsum(lengths)))
+    words, numbers = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_inverse=True)
+    numbers = numbers.astype(np.int32).ravel()
+    term, item, count = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for i in range(n):
+        size = _size(int(lengths[i]))
+        h, f = np.unique(shingle_hashes(numbers[item_at[i] : item_at[i + 1]], size) ^ np.uint64(size), return_counts=True)
+        term.append(h)
+        item.append(np.full(len(h), i, np.int32))
+        count.append(f)
+    term, item, count = np.concatenate(term), np.concatenate(item), np.concatenate(count)
+    by = np.lexsort((item, term))
+    term, item, count = term[by], item[by], count[by]
+    hashes, at = np.unique(term, return_index=True)
+    at = np.append(at, len(term)).astype(np.int64)
+    df = np.repeat(np.diff(at), np.diff(at))
+    norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
+    weight = np.log(1 + (n - df + 0.5) / (df + 0.5)) * count * (K1 + 1) / (count + norm[item])
+    # An item's heaviest terms: as many as a passage may lack places of shingles.
+    heavy = np.lexsort((-weight, item))
+    first = np.searchsorted(item[heavy], np.arange(n))
+    place = np.arange(len(heavy)) - first[item[heavy]]
+    lack = ((1 - OVERLAP) * (lengths - [_size(int(x)) for x in lengths] + 1) + 1e-9).astype(np.int64) if n else lengths
+    left = np.bincount(item[heavy], np.where(place < lack[item[heavy]], 0.0, weight[heavy]), minlength=n)
+    least = weight[heavy][np.append(first[1:], len(heavy)) - 1] if n else left
+    impacts = weight / (np.maximum(left, least) * (1 - 1e-9))[item]
+    blocks = -(-np.diff(at) // BLOCK)
+    block_at = np.concatenate(([0], np.cumsum(blocks)))
+    starts = np.repeat(at[:-1], blocks) + BLOCK * (np.arange(block_at[-1]) - np.repeat(block_at[:-1], blocks))
+    last = np.minimum(starts + BLOCK, np.repeat(at[1:], blocks)) - 1
+    top = lambda x: np.maximum.reduceat(impacts, x) if len(impacts) else np.empty(0)
+    return Index(ids, words, item_at, numbers, np.array(question, np.int64), hashes, at, item, impacts, block_at, item[last], top(starts), top(at[:-1]))
+
+
+def block_max_wand(index: Index, slots: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
+    """Every item whose summed impacts over the terms in these slots reach threshold: (item, score).
 
     Cursors stand at their lists' next item; the pivot is the first whose lists' largest impacts
     reach the threshold; if the blocks around it can't, all of them skip to the nearest block's end.
     """
-    cursors = [[index.postings[t], index.blocks[t], 0, max(w for _, w in index.blocks[t])] for t in terms]
+    def pairs(a: np.ndarray, b: np.ndarray, at: np.ndarray, s: int) -> list[tuple[int, float]]:
+        return list(zip(a[at[s] : at[s + 1]].tolist(), b[at[s] : at[s + 1]].tolist()))
+
+    cursors = [[pairs(index.items, index.impacts, index.at, s), pairs(index.block_last, index.block_most, index.block_at, s), 0, float(index.most[s])] for s in slots]
     found = []
     while cursors := [c for c in cursors if c[2] < len(c[0])]:
         cursors.sort(key=lambda c: c[0][c[2]][0])
@@ -155,8 +188,8 @@ def verify(index: Index, item: int, passage: np.ndarray) -> tuple[float, float |
     A word is held if a shingle that covers it is. Of an item without a question or without an answer
     only the share of shingles decides; the share of what it lacks is None.
     """
-    ids = index.items[item]
-    size, cut = _size(len(ids)), index.question[item]
+    ids = index.item(item).tolist()
+    size, cut = _size(len(ids)), int(index.question[item])
     there = {tuple(t) for t in zip(*[passage[k:].tolist() for k in range(size)])}
     hit = [t in there for t in zip(*[ids[k:] for k in range(size)])]
     covered = [any(hit[max(0, i - size + 1) : i + 1]) for i in range(len(ids))]
@@ -170,11 +203,12 @@ def matches(index: Index, words: list[bytes]) -> dict[int, tuple[float, float, f
     Passages are 2 * longest words and start every longest words: any place of an item lies whole in one.
     """
     found: dict[int, tuple[float, float, float | None, float | None]] = {}
-    get = index.words.get
-    ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    known = ids >= 0
+    own = _word_hashes(words)
+    ids = np.minimum(np.searchsorted(index.words, own), len(index.words) - 1)
+    known = index.words[ids] == own
+    ids = np.where(known, ids, -1)
     hits: list[tuple[np.ndarray, np.ndarray]] = []
-    for size in sorted({_size(len(x)) for x in index.items}):
+    for size in index.sizes:
         if len(ids) < size:
             continue
         full = known[: len(ids) - size + 1].copy()
@@ -198,7 +232,7 @@ def matches(index: Index, words: list[bytes]) -> dict[int, tuple[float, float, f
         own = np.unique(slot[(at >= start) & (at < start + 2 * step)])
         if not len(own) or index.most[own].sum() < 1:
             continue
-        for item, score in block_max_wand(index, [int(index.hashes[s]) for s in own]):
+        for item, score in block_max_wand(index, own.tolist()):
             if (shares := verify(index, item, ids[start : start + 2 * step])) and (item not in found or score > found[item][0]):
                 found[item] = (score, *shares)
     return found
@@ -216,7 +250,7 @@ def indexes(items: DataFrame, id_col: str = "item_id", question: str = "text", a
     for part in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id", "q"), F.lit(parts)) == part)
         index = build_index(sorted(((r["id"], r["q"], r["a"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0], r[1] or "")))
-        if index.items:
+        if index.ids:
             yield index
 
 
@@ -247,7 +281,24 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose passages hold no item; all columns stay. Rows with equal ids go together; a null id joins a null id."""
-    hit = contaminations(docs, items, id_col, text_col, **how).select(F.col("id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", question: str = "text", answer: str | None = None) -> DataFrame:
+    """The rows of docs whose passages hold no item; all columns stay.
+
+    Each row is judged by its own text where it lies, without a shuffle, so ids play no part: rows
+    with null or shared ids stay or go one by one. Null and empty texts stay; empty tables give
+    no rows, or all of docs.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    at, kind = docs.columns.index(text_col), docs.schema
+    for index in indexes(items, item_id, question, answer):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                clean = [not matches(index, words_of(text.as_py())) for text in batch.column(at).cast(pa.string()).cast(pa.binary())]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, kind)
+    return docs

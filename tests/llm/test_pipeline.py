@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from granary.llm import decontam, langid
+from granary.llm import decontam, langid, suffix
 
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_suffix import plain
@@ -43,7 +43,7 @@ def test_stages_match_brute_force(spark, folder):
     assert not {100, 101} & {r[0] for r in expected}
 
     cut = f["suffix_dedup"](spark, once, folder)
-    bytes_ = {r[0]: p[3].decode("utf-8", "ignore") for r, p in zip(expected, plain([r[1] for r in expected], 400))}
+    bytes_ = {r[0]: p[3].decode("utf-8", "ignore") for r, p in zip(expected, plain([r[1] for r in expected], suffix.PASSAGE))}
     assert cut.columns == docs.columns and {r["doc_id"]: r["text"] for r in cut.collect()} == {k: t for k, t in bytes_.items() if t}
     assert all(r["n_chars"] == len(r["text"]) for r in cut.collect()) and len(bytes_[102]) < 600
 
