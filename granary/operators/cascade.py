@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Reasons in their order.
@@ -28,19 +27,29 @@ def first_accepted(df: DataFrame, key: str, order: list[str], early: dict[str, C
     A row is a duplicate if its key is seeded or an earlier row of the key was accepted in full; that
     is asked after the early tests and before the late ones. So a row that fails late leaves its
     place to a later one. order must be total. Rows of a null key are no duplicates.
+
+    First places are aggregated, of keys with two rows or more, and joined back by a further key: that
+    spreads the rows of a null key, lets a hot key's rows be split, and few repeated keys be broadcast.
     """
     before, after = rejection(early), rejection(late)
-    df = df.withColumn("__early", before).withColumn("__late", after)
+    spread = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*order))
+    df = df.withColumn("__early", before).withColumn("__late", after).withColumn("__spread", spread)
+
+    def meeting(keys: DataFrame) -> DataFrame:
+        return df.join(keys.withColumn("__spread2", F.xxhash64("__key")), (F.col("__spread") == F.col("__spread2")) & (F.col(key) == F.col("__key")), "left").drop("__spread2", "__key")
+
     if seeded is not None:
-        seeds = seeded.select(F.col(seeded.columns[0]).alias("__seed")).where("__seed is not null").distinct()
-        df = df.join(seeds, F.col(key) == F.col("__seed"), "left").withColumn("__seeded", F.col("__seed").isNotNull()).drop("__seed")
+        seeds = seeded.select(F.col(seeded.columns[0]).alias("__key")).where("__key is not null").distinct()
+        df = meeting(seeds.withColumn("__seeded", F.lit(True))).withColumn("__seeded", F.coalesce("__seeded", F.lit(False)))
     else:
         df = df.withColumn("__seeded", F.lit(False))
     place = F.struct(*order)
-    passes = F.col("__early").isNull() & F.col("__late").isNull() & ~F.col("__seeded") & F.col(key).isNotNull()
-    first = F.min(F.when(passes, place)).over(W.partitionBy(key))
-    repeated = F.col(key).isNotNull() & (F.col("__seeded") | (place > first))
-    return df.withColumn("__dup", F.coalesce(repeated, F.lit(False))).withColumn("rejection", F.coalesce("__early", F.when(F.col("__dup"), duplicate), "__late")).drop("__early", "__late", "__seeded", "__dup")
+    passes = F.col("__early").isNull() & F.col("__late").isNull() & ~F.col("__seeded")
+    firsts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.when(passes, place)).alias("__first"), F.count("*").alias("__n"))
+    df = meeting(firsts.where("__n > 1 AND __first IS NOT NULL").drop("__n"))
+    repeated = F.col(key).isNotNull() & (F.col("__seeded") | (place > F.col("__first")))
+    df = df.withColumn("__dup", F.coalesce(repeated, F.lit(False))).withColumn("rejection", F.coalesce("__early", F.when(F.col("__dup"), duplicate), "__late"))
+    return df.drop("__early", "__late", "__seeded", "__dup", "__spread", "__first")
 
 
 def flagged(df: DataFrame, keys: DataFrame, on: dict[str, str], name: str) -> DataFrame:

@@ -54,6 +54,11 @@ def answer(change=None):
 def test_critic_contract(spark):
     ask = lambda change=None, targets=("e0001",): critic.faults(answer(change), list(targets), 3)
     assert len(critic.PAIRS) == 18 and critic.scorecard(spark).count() == 18 and ask() == []
+    for odd in ([], {}, ["a"], {"a": 1}, 3, None, True):
+        assert "evaluation_values" in ask(lambda d, odd=odd: d["evaluations"][0].update(category=odd)) and "evaluation_values" in ask(lambda d, odd=odd: d["evaluations"][0].update(type=odd))
+        for field in ("category", "type", "scope"):
+            issue = {"category": "a", "type": "b", "scope": "global", "target_ids": [], "observed": "o", "expected": "e", "fix": "f"}
+            assert "issue_values" in ask(lambda d, odd=odd, field=field, issue=issue: d["issues"].append({**issue, field: odd}))
     assert critic.faults("x", [], 3) == ["not_json"] and critic.faults("{}", [], 3) == ["keys"]
     assert ask(targets=()) == ["target_unknown"]
     assert ask(lambda d: d["evaluations"].pop()) == ["evaluation_pairs"]

@@ -192,3 +192,26 @@ def test_scorecards(spark):
     ok = lambda version, t, a: df.select(integrity.accepted(F.col("evaluations"), F.col("status"), F.col("flags"), F.col("score"), F.lit(version), t, a)).first()[0]
     assert (ok(3, 5.0, 0), ok(3, 7.0, 0), ok(2, 9.0, 9), ok(1, 9.0, 9), ok(1, 9.0, 8)) == (True, False, True, False, True)
     assert spark.range(1).select(integrity.rule_score(F.lit(3), F.lit(2)), integrity.rule_score(F.lit(1), F.lit(1))).first()[:] == (0, 6)
+
+
+def test_first_accepted_spreads_rows_without_a_key(spark):
+    """Nine in ten rows have no key: with broadcasts and adaptive execution off no partition holds much more than its share."""
+    df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 10 == 0, (F.col("id") % 500).cast("string")).alias("key"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(was, ("false", "-1", "8")):
+            spark.conf.set(k, v)
+        out = cascade.first_accepted(df, "key", ["id"], {"early": F.col("id") < 10}, {"late": F.col("id") == 20}, spark.createDataFrame([("30",)], "s string"))
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.max("rejection")).collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 4_000
+        rows = {r["id"]: r["rejection"] for r in out.collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    seen, expected = {"30"}, {}
+    for i in range(20_000):
+        key = str(i % 500) if i % 10 == 0 else None
+        expected[i] = "early" if i < 10 else "duplicate_svg" if key in seen else "late" if i == 20 else None
+        if expected[i] is None and key is not None:
+            seen.add(key)
+    assert rows == expected
