@@ -18,8 +18,8 @@ UNKNOWN = "und"
 SIZES = (1, 2, 3)
 #: Most labelled documents per language that the counts are learned from, in expectation.
 TRAIN_DOCS = 4000
-#: Hash buckets, a power of two, and the most bytes of the broadcast matrix; with many languages the buckets are halved until it fits.
-BUCKETS, MATRIX_BYTES = 1 << 16, 64 << 20
+#: Hash buckets, a power of two, and the most languages: 64 MB of the broadcast matrix; more are an error.
+BUCKETS, MOST_LANGS = 1 << 16, 256
 #: Code points that are scored at once.
 BLOCK = 1 << 18
 #: The most by which one document's log-odds count, in n-grams: the posterior of long texts isn't simply 1.
@@ -83,13 +83,12 @@ def learn(labelled: DataFrame, tables: Tables, id_col: str, text_col: str, lang_
     spark = labelled.sparkSession
     bounded_batches(spark)
     labelled = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
     if not sizes:
         return None
-    langs = sorted(sizes)
-    buckets = BUCKETS
-    while buckets > 256 and buckets * len(langs) * 8 > MATRIX_BYTES:
-        buckets //= 2
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages: their matrix would be too large to broadcast")
+    langs, buckets = sorted(sizes), BUCKETS
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, train_docs / sizes[k])])
     sample = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("text", "lang")
     number = {k: i for i, k in enumerate(langs)}
@@ -108,7 +107,7 @@ def learn(labelled: DataFrame, tables: Tables, id_col: str, text_col: str, lang_
     total[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
     total = total.reshape(len(langs), buckets).T + 0.5
     docs = np.array([sizes[k] for k in langs], np.float64)
-    return Model(langs, np.log(docs / docs.sum()), np.ascontiguousarray(np.log(total / total.sum(axis=0))))
+    return Model(langs, np.log(docs / docs.sum()), np.ascontiguousarray(np.log(total / total.sum(axis=0)), dtype=np.float32))
 
 
 def likelihoods(texts: list[str | None], model: Model) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -118,7 +117,7 @@ def likelihoods(texts: list[str | None], model: Model) -> tuple[list[int], np.nd
     for bucket, owner in grams([texts[i] for i in known], len(model.logp)):
         if len(owner):
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            sums[owner[first]] += np.add.reduceat(model.logp[bucket], first, axis=0)
+            sums[owner[first]] += np.add.reduceat(model.logp[bucket], first, axis=0, dtype=np.float64)
             n[owner[first]] += np.diff(np.append(first, len(owner)))
     return known, sums, n
 
@@ -144,7 +143,7 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and lang_score.
 
-    The matrix of log probabilities is broadcast; it has MATRIX_BYTES at most. A null text, one
+    The matrix of log probabilities is broadcast; it has 64 MB at most (see MOST_LANGS). A null text, one
     without a letter, or any text when nothing was learned is UNKNOWN with score 0; of languages
     that score the same the first in order is taken; repeated rows get the same result; an empty
     table gives no rows; columns of those names in docs are replaced.

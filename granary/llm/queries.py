@@ -150,12 +150,12 @@ _SHARDING_SQL = f"""
     """
 
 _URL_SQL = r"""
-    WITH c AS (SELECT page_id, nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host, (DATE '2024-01-01' + (page_id * 37 % 366)::INTEGER)::DATE AS fetched_on FROM pages),
+    WITH c AS (SELECT page_id, nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#@\]]*\]|[^/?#:@\[\]]+)', 1), '\.+$', ''), '') AS host, (DATE '2024-01-01' + (page_id * 37 % 366)::INTEGER)::DATE AS fetched_on FROM pages),
     h AS (SELECT DISTINCT host AS domain, md5(host) AS m FROM c WHERE host IS NOT NULL),
     entry AS (SELECT domain, action, (DATE '2024-01-01' + (('0x' || substr(m, 3, 2))::INTEGER + shift)::INTEGER)::DATE AS dated FROM h, (VALUES ('block', -60), ('allow', 0), ('block', 45), ('remove', 90)) AS e(action, shift) WHERE ('0x' || substr(m, 1, 2))::INTEGER % 3 = 0
         UNION ALL VALUES ('example.org', 'block', DATE '2024-10-01'), ('example.net', 'block', DATE '2023-01-01'), ('example.net', 'remove', DATE '2024-03-01')),
     held AS (SELECT domain, action, dated AS valid_from, lead(dated) OVER (PARTITION BY domain ORDER BY dated) AS valid_to FROM entry),
-    best AS (SELECT page_id, arg_max(struct_pack(a := action, d := domain, f := valid_from, t := valid_to), length(domain)) AS e FROM c JOIN held ON (host = domain OR ends_with(host, '.' || domain)) AND fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to) WHERE action <> 'remove' GROUP BY page_id)
+    best AS (SELECT page_id, arg_max(struct_pack(a := action, d := domain, f := valid_from, t := valid_to), length(domain)) AS e FROM c JOIN held ON (host = domain OR ends_with(host, '.' || domain) AND NOT regexp_matches(host, '^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$')) AND fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to) WHERE action <> 'remove' GROUP BY page_id)
     SELECT page_id, host, fetched_on, CASE WHEN host IS NULL THEN 'unknown' ELSE coalesce(e.a, 'none') END AS verdict, e.d AS domain, e.f AS valid_from, e.t AS valid_to FROM c LEFT JOIN best USING (page_id)
     """
 

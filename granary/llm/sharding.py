@@ -51,12 +51,20 @@ def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     plain = done.where((F.col("shard_bytes") <= limit) | (F.col("depth") < HASH_BITS)).withColumn("page", F.lit(0))
     if alike.isEmpty():
         return plain.select("id", "n_bytes", "depth", "prefix", "page", "shard_bytes")
-    # Such rows are copies of one row, so each page takes as many as fit.
-    own = W.partitionBy("prefix").orderBy("n_bytes")
+    # Such rows are copies of one row, so each page takes as many as fit. A copy's number is its place
+    # in its part of a written table and the copies of earlier parts, so no task has them all.
+    parts = tables.cut(alike.withColumn("part", F.spark_partition_id()).withColumn("r", F.monotonically_increasing_id()))
+    kind, before = W.partitionBy("prefix", "n_bytes"), W.unboundedPreceding
     a_page = F.greatest(F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1))), F.lit(1))
-    paged = alike.withColumn("page", F.floor((F.row_number().over(own) - 1) / a_page).cast("int"))
-    paged = paged.withColumn("shard_bytes", F.sum("n_bytes").over(W.partitionBy("prefix", "page")))
-    return plain.unionByName(paged).select("id", "n_bytes", "depth", "prefix", "page", "shard_bytes")
+    counts = parts.groupBy("prefix", "n_bytes", "part").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("base", F.coalesce(F.sum("c").over(kind.orderBy("part").rowsBetween(before, -1)), F.lit(0))).withColumn("copies", F.sum("c").over(kind))
+    kinds = counts.select("prefix", "n_bytes", F.ceil(F.col("copies") / a_page).alias("pages")).distinct()
+    first = kinds.select("prefix", "n_bytes", F.coalesce(F.sum("pages").over(W.partitionBy("prefix").orderBy("n_bytes").rowsBetween(before, -1)), F.lit(0)).alias("first"))
+    placed = parts.join(counts.join(first, ["prefix", "n_bytes"]).drop("c"), ["prefix", "n_bytes", "part"])
+    place = F.col("base") + F.row_number().over(W.partitionBy("prefix", "n_bytes", "part").orderBy("r")) - 1
+    paged = placed.withColumn("own", F.floor(place / a_page)).withColumn("page", (F.col("first") + F.col("own")).cast("int"))
+    paged = paged.withColumn("shard_bytes", F.least(a_page, F.col("copies") - F.col("own") * a_page) * F.col("n_bytes"))
+    return plain.unionByName(paged.select(*plain.columns)).select("id", "n_bytes", "depth", "prefix", "page", "shard_bytes")
 
 
 def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm._common import Tables, as_bytes, bounded_batches, partitions
-from granary.llm.components import connected_components
+from granary.llm.components import connected_components, split_join
 
 BITS = 64
 SEED = 42
@@ -179,7 +179,7 @@ def _groups(docs: DataFrame, tables: Tables, id_col: str, text_col: str, shingle
     linked = grouped.where("root is not null")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     alone = grouped.where("root is null").select("fp", F.col("fp").alias("group"), F.col("least").alias("component_id"))
-    return rows, alone.unionByName(linked.join(least, "root").select("fp", F.col("root").alias("group"), "component_id"))
+    return rows, alone.unionByName(split_join(linked, least, "root").select("fp", F.col("root").alias("group"), "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, max_tree: int = 4096) -> DataFrame:

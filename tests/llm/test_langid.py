@@ -78,3 +78,41 @@ def test_few_held_out_rows_give_no_floor(spark):
     df = spark.createDataFrame([(i, "abc def " * 100, "a") for i in range(40)] + [(99, "где " * 200, None)], "doc_id long, text string, lang string")
     model = langid.with_floors(df, langid.train(df))
     assert model.floor.tolist() == [-np.inf] and langid.score(["где " * 200], model)[0] == ["a"]
+
+
+def test_predictions_are_those_of_a_plain_naive_bayes(spark):
+    """Counts in dictionaries, one text at a time, with integers for the hash: the same language for every text."""
+    rng = random.Random(11)
+    words = {"a": ["rouge", "été", "maison", "le"], "b": ["rot", "haus", "größe", "das"], "c": ["red", "house", "the"]}
+    rows = [(i, " ".join(rng.choices(words[k] + (words[rng.choice("abc")] if rng.random() < 0.4 else []), k=rng.randint(1, 12))), k) for i, k in enumerate(rng.choices("aabc", k=240))]
+    rows += [(500, "été rouge haus", None), (501, "THE House!", None), (502, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def buckets(text):
+        points = [c if c >= 128 or 97 <= c <= 122 else 32 for c in map(ord, text.lower())]
+        out = []
+        for n in langid.SIZES:
+            for at in range(len(points) - n + 1):
+                h = n * 0x9E3779B1 & 0xFFFFFFFF
+                for k in range(n):
+                    h = ((h ^ points[at + k]) * 0x85EBCA6B) & 0xFFFFFFFF
+                    h ^= h >> 15
+                out.append((h * 0xC2B2AE35 & 0xFFFFFFFF) >> 16)  # 65,536 buckets
+        return out
+
+    train = [r for r in rows if r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 5]
+    counts = {k: {} for k in "abc"}
+    for _, text, lang in train:
+        for b in buckets(text):
+            counts[lang][b] = counts[lang].get(b, 0) + 1
+    size = langid.BUCKETS
+    total = {k: sum(v.values()) + 0.5 * size for k, v in counts.items()}
+    prior = {k: sum(r[2] == k for r in train) / len(train) for k in "abc"}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.train(df)).collect()}
+    for i, text, _ in rows:
+        if text is None:
+            assert got[i] == "und"
+            continue
+        own = {k: np.log(prior[k]) + sum(np.log((counts[k].get(b, 0) + 0.5) / total[k]) for b in buckets(text)) for k in "abc"}
+        best = max(own.values())
+        assert got[i] in [k for k in own if best - own[k] < 1e-3]

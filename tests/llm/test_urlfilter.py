@@ -34,6 +34,14 @@ def test_verdicts_match_brute_force(spark):
         assert (r["verdict"], r["domain"]) == plain(r["host"], r["fetched_on"], entries)
 
 
+def test_addresses_have_no_suffixes(spark):
+    urls = ["http://[2001:DB8::1]:80/a", "http://u@10.1.2.3:8080/", "https://1.2.3/", "http://[::1", "http://2.3/"]
+    df = spark.createDataFrame([(i, u, day(3)) for i, u in enumerate(urls)], "page_id long, url string, fetched_on date")
+    entries = spark.createDataFrame([(d, "block", day(0)) for d in ("[2001:db8::1]", "2.3", "3", "10.1.2.3")], ENTRIES)
+    got = {r["id"]: (r["host"], r["verdict"], r["domain"]) for r in urlfilter.judge(df, entries).collect()}
+    assert got == {0: ("[2001:db8::1]", "block", "[2001:db8::1]"), 1: ("10.1.2.3", "block", "10.1.2.3"), 2: ("1.2.3", "block", "2.3"), 3: (None, "unknown", None), 4: ("2.3", "block", "2.3")}
+
+
 def test_intervals_end_with_the_next_entry(spark):
     rows = [("A.com ", "block", day(0)), ("a.com", "allow", day(5)), ("a.com", "block", day(5)), ("a.com", "remove", day(9)), (None, "block", day(1)), ("b.com", None, day(1)), ("c.com", "odd", day(1)), ("d.com", "block", None)]
     got = urlfilter.validity(spark.createDataFrame(rows, ENTRIES)).collect()
