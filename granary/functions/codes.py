@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -186,11 +187,86 @@ def parse(ids: list[int], book: Codebook = BOOK) -> dict:
     return n | {"error_at": None, "error": None}
 
 
+#: Errors of parse(), by number: the first of those that hold for a token is its error.
+ERRORS = ("", "inner_framing", "reserved_id", "argument", "color_without_command", "expected_command", "empty_body", "framing", "truncated_command", "open_path")
+
+
+def features(rows: list, book: Codebook = BOOK) -> dict[str, list]:
+    """parse() of many sequences at once, over their flattened ids.
+
+    Up to a sequence's first error every command before a token is a true one, so the last command
+    and the last color before a token say what may stand there.
+    """
+    known = [x for x in rows if x is not None]
+    sizes = np.fromiter(map(len, known), np.int64, len(known))
+    flat = np.concatenate([np.asarray(x, np.int64) for x in known]) if known else np.empty(0, np.int64)
+    start, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(known)), sizes)
+    within = lambda r: (flat >= r[0]) & (flat <= r[1])
+    command, coordinate, color, arc = map(within, (book.command, book.coordinate, book.color, book.arc))
+    frame, at = (flat == book.bos) | (flat == book.eos), np.arange(len(flat))
+    inner = (at > start[row]) & (at < (start + sizes - 1)[row]) if len(flat) else np.empty(0, bool)
+
+    def before(mark: np.ndarray) -> np.ndarray:
+        """Where the last marked token before this one is, in its own body; else -1."""
+        last = np.maximum.accumulate(np.where(mark & inner, at, -1)) if len(at) else at
+        last = np.concatenate(([-1], last[:-1]))[: len(at)]
+        return np.where(last >= start[row], last, -1) if len(at) else last
+
+    arity = np.array([len(x) for x in book.arguments])
+    wants_arc = np.zeros((len(arity), int(arity.max()) + 1), bool)
+    for k, x in enumerate(book.arguments):
+        for j, c in enumerate(x):
+            wants_arc[k, j + 1] = c == "a"
+    c, last_color = before(command), before(color)
+    which = np.where(c >= 0, flat[c] - book.command[0], 0) if len(flat) else c
+    step = np.where(c >= 0, at - c, 0)
+    due = (c >= 0) & (step <= arity[which]) if len(flat) else np.empty(0, bool)
+    fits = np.where(wants_arc[which, np.minimum(step, wants_arc.shape[1] - 1)], arc, coordinate) if len(flat) else due
+    in_path = c > last_color
+    reserved = ~(frame | command | coordinate | color | arc)
+    error = np.select([frame, reserved, due & ~fits, ~due & color & ~in_path, ~due & ~color & ~command], [1, 2, 3, 4, 5], 0)
+    error = np.where(inner, error, 0)
+    first = np.full(len(known), -1)
+    bad = np.flatnonzero(error)[::-1]
+    first[row[bad]] = bad
+    end = np.maximum(start + sizes - 1, 0)
+    code, place = np.zeros(len(known), np.int64), np.full(len(known), -1)
+    for i in range(len(known)):
+        if sizes[i] < 3:
+            code[i] = 6
+        elif flat[start[i]] != book.bos or flat[end[i]] != book.eos:
+            code[i] = 7
+        elif first[i] >= 0:
+            code[i], place[i] = error[first[i]], first[i] - start[i] - 1
+        elif c[end[i]] >= 0 and end[i] - c[end[i]] <= arity[which[end[i]]]:
+            code[i], place[i] = 8, sizes[i] - 2
+        elif in_path[end[i]]:
+            code[i], place[i] = 9, sizes[i] - 2
+    special = color & (flat - book.color[0] < book.special_colors)
+    count = lambda mark: np.bincount(row[mark & inner], minlength=len(known))
+    n = {"coordinates": count(coordinate), "colors": count(color), "rgb_colors": count(color & ~special), "special_colors": count(special), "commands": count(command), "arcs": count(arc), "paths": count(color)}
+    out: dict[str, list] = {name: [] for name in FEATURES.names}
+    k = -1
+    for x in rows:
+        k += x is not None
+        ok = x is not None and not code[k]
+        for name, values in n.items():
+            out[name].append(int(values[k]) if ok else None)
+        out["error_at"].append(int(place[k]) if x is not None and place[k] >= 0 else None)
+        out["error"].append(ERRORS[code[k]] if x is not None and code[k] else None)
+    return out
+
+
 @F.pandas_udf(FEATURES)
 def sequence_features(ids: pd.Series) -> pd.DataFrame:
     """Counts of a framed sequence, or its first error; a null sequence gives nulls."""
-    rows = [dict.fromkeys(FEATURES.names) if x is None else parse(list(map(int, x))) for x in ids]
-    return pd.DataFrame(rows, columns=FEATURES.names).astype({n: "Int32" for n in FEATURES.names[:-1]})
+    return pd.DataFrame(features(ids.tolist()), columns=FEATURES.names).astype({n: "Int32" for n in FEATURES.names[:-1]})
+
+
+def component_counts(df: DataFrame, ids: str, factorize: Callable[[Column], Column]) -> DataFrame:
+    """(kind, value, n) of the parts of all ids: ids are counted, and only the different ones, as many as the vocabulary at most, are factorized."""
+    counted = df.select(F.explode(ids).alias("i")).groupBy("i").agg(F.count("*").alias("c"))
+    return counted.select(F.explode(factorize(F.array("i"))).alias("p"), "c").groupBy("p.kind", "p.value").agg(F.sum("c").alias("n"))
 
 
 def recovered_prefix(ids: list[int], book: Codebook = BOOK) -> list[int]:
@@ -218,6 +294,11 @@ def unnamed(name: Column, book: Codebook = BOOK) -> Column:
     return F.nullif(F.regexp_extract(name, r"^<\|svg_(\d+)\|>$", 1), F.lit("")).cast("int") + book.command[0]
 
 
+def upstream(i: Column, registered: Codebook, book: Codebook = BOOK) -> Column:
+    """The upstream id of a registered one; null outside the registered range."""
+    return F.when(i.between(registered.command[0], registered.eos), i - registered.command[0] + book.command[0])
+
+
 def response_roles(ids: Column, book: Codebook = BOOK) -> Column:
     """Role of every token of a response: structure, geometry, style, framing."""
     role = lambda i: F.coalesce(F.when(token_kind(i, book) == "command", "structure").when(token_kind(i, book).isin("coordinate", "arc"), "geometry").when(token_kind(i, book) == "color", "style"), F.lit("framing"))

@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Consecutive numbers of a block of an ordered digest.
+DIGEST_BLOCK = 10_000
+
+
 def nearest_rank(value: str, q: float) -> Column:
     """The ceil(q * n)-th smallest value, exactly."""
     return F.expr(f"CAST(percentile_disc({q}) WITHIN GROUP (ORDER BY {value}) AS BIGINT)")
@@ -32,6 +36,20 @@ def floor_quantiles(df: DataFrame, by: list[str], value: str, quantiles: tuple[f
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[at(q).alias(f"p{round(q * 100)}") for q in quantiles])
 
 
+def ceiling_quantiles(df: DataFrame, by: list[str], value: str, quantiles: tuple[float, ...]) -> DataFrame:
+    """The value of rank floor(n * q + 1 - 1e-12), from 1: nearest rank by a ceiling that forgives what floats add."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    own = W.partitionBy(*by)
+    ranked = counts.select(*by, value, F.sum("c").over(own).alias("n"), F.sum("c").over(own.orderBy(value)).alias("upto"))
+    rank = lambda q: F.least(F.greatest(F.floor(F.col("n") * F.lit(q) + F.lit(0.999999999999)), F.lit(1)), F.col("n"))
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") >= rank(q), F.col(value))).cast("bigint").alias(f"p{round(q * 100)}") for q in quantiles])
+
+
+def median(value: str) -> Column:
+    """The middle value, or the mean of the two in the middle."""
+    return F.median(value)
+
+
 def arg_max_first(row: Column, value: Column, order: Column) -> Column:
     """The row of the largest value, of several the first by order (an integer)."""
     return F.max_by(row, F.struct(value, -order))
@@ -76,10 +94,16 @@ def paired_lengths(df: DataFrame, before: str, after: str, by: list[str]) -> Dat
     )
 
 
-def ordered_digest(df: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
-    """(by, n, digest): SHA-256 of the lines of a group in order. A group of ids is gathered in one task; use it on manifests."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("__v")))), lambda x: x.getField("__v"))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+def ordered_digest(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """(by, n, digest): SHA-256 of the digests of a group's blocks in order; a block's is that of its lines in order.
+
+    order is an integer, and a block DIGEST_BLOCK consecutive numbers of it, so a large group goes to
+    many tasks, and only its blocks' digests meet.
+    """
+    joined = lambda at, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(what).cast("string").alias("v")))), lambda x: x.v), "\n")
+    rows = df.select(*by, F.col(value).alias("__v"), F.col(order).alias("__o"), F.floor(F.col(order) / DIGEST_BLOCK).alias("__b"))
+    blocks = rows.groupBy(*by, "__b").agg(F.count("*").alias("__n"), F.sha2(joined("__o", "__v"), 256).alias("__d"))
+    return blocks.groupBy(*by).agg(F.sum("__n").alias("n"), F.sha2(joined("__b", "__d"), 256).alias("digest"))
 
 
 def set_digest(value: str) -> Column:

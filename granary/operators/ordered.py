@@ -24,6 +24,13 @@ def sampled(df: DataFrame, by: str, key: str, k: int, seed: int) -> DataFrame:
     return df.withColumn("sample_rank", rank).where(F.col("sample_rank") <= k)
 
 
+def buffer_shuffled(df: DataFrame, order: str, seed: int, size: int) -> DataFrame:
+    """df with `place`: rows keep their order by blocks of `size` consecutive numbers of `order` (an integer from 0), and are shuffled within one."""
+    block = F.floor(F.col(order) / size)
+    shuffled = F.row_number().over(W.partitionBy(block).orderBy(hash_order(seed, order), order))
+    return df.withColumn("place", block * size + shuffled - 1)
+
+
 def split(df: DataFrame, rank: str, sizes: dict[str, int]) -> DataFrame:
     """Sampled rows with their split: the first ranks go to the first split, and so on."""
     column, start = None, 0
@@ -76,23 +83,21 @@ def best_attempts(df: DataFrame, run: str, position: str, score: str, patience:
 def token_budget(items: DataFrame, by: str, order: str, text: str, budget: int) -> DataFrame:
     """(by, order, text, kept, tokens): items in order that still fit in the budget, whole, else their longest prefix of lines.
 
-    Tokens are words of the joined text so far; an item of which nothing fits is passed over.
+    Tokens are words of the joined text so far; an item of which nothing fits is passed over. A group
+    is one context's items, bounded by what a retrieval returns, and so is gathered.
     """
     schema = f"{by} {items.schema[by].dataType.simpleString()}, {order} {items.schema[order].dataType.simpleString()}, {text} string, kept string, tokens long"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, so_far = [], ""
+        out, used = [], 0
         for r in pdf.sort_values(order).itertuples(index=False):
-            whole, kept = getattr(r, text) or "", None
+            whole = getattr(r, text) or ""
             lines = whole.split("\n")
-            for n in range(len(lines), 0, -1):
-                candidate = "\n".join(lines[:n])
-                joined = f"{so_far}\n\n{candidate}" if so_far else candidate
-                if candidate.strip() and len(joined.split()) <= budget:
-                    kept, so_far = candidate, joined
-                    break
-            if kept is not None:
-                out.append((getattr(r, by), getattr(r, order), whole, kept, len(so_far.split())))
+            words = np.cumsum([len(x.split()) for x in lines])
+            n = int(np.searchsorted(words, budget - used, side="right"))
+            if n and words[n - 1]:
+                used += int(words[n - 1])
+                out.append((getattr(r, by), getattr(r, order), whole, "\n".join(lines[:n]), used))
         return pd.DataFrame(out, columns=[by, order, text, "kept", "tokens"])
 
     return items.select(by, order, text).groupBy(by).applyInPandas(fold, schema)

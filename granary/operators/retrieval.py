@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most queries, and bytes of their vectors, that go to every task at once.
 QUERY_BLOCK, QUERY_BYTES = 4096, 64 << 20
+#: Most bytes of all queries' vectors, which the driver holds, in one call.
+MOST_QUERY_BYTES = 1 << 30
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -33,10 +35,14 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vector:
 
     Queries go to every task in blocks of bounded size; a task keeps its own k best of each query by
     one matrix product per batch, so at most k rows of a query leave a task. Vectors must be unit
-    vectors of one length; null ones match nothing.
+    vectors of one length; null ones match nothing. Queries of over MOST_QUERY_BYTES are an error:
+    the caller divides them.
     """
     spark = corpus.sparkSession
-    width = queries.select(F.max(F.size(query_vector))).first()[0] or 1
+    width, n = queries.where(F.col(query_vector).isNotNull()).select(F.max(F.size(query_vector)), F.count("*")).first()
+    width = width or 1
+    if 8 * width * n > MOST_QUERY_BYTES:
+        raise ValueError(f"{n} queries of {width} numbers are over {MOST_QUERY_BYTES} bytes; ask in parts")
     block = max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * width)))
     asked = queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector).orderBy(query_id)
     out, held = None, []

@@ -31,6 +31,11 @@ def first_failures(df: DataFrame, by: str, detail: list[str], most: int = 100) -
     return df.groupBy(by).agg(F.count("*").alias("n")).join(listed, by)
 
 
+def length_cohorts(df: DataFrame, length: str, most: int) -> DataFrame:
+    """df with `retained`: whether its length is within the limit; a null length isn't. Both cohorts come from one pass."""
+    return df.withColumn("retained", F.coalesce(F.col(length) <= most, F.lit(False)))
+
+
 def same_pairs(a: str, b: str):
     """Two arrays hold the same different items."""
     return (F.array_sort(a) == F.array_sort(b)) & (F.size(F.array_distinct(a)) == F.size(a))

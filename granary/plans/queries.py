@@ -216,12 +216,13 @@ def lineage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RESULTS = {"valid": "value > 5", "render_enabled": "event_id % 3 <> 0", "rendered": "value > 20", "succeeded": "event_type <> 'error'"}
 
 
-@query("""WITH m AS (SELECT user_id % 7 AS cohort, round(avg((value > 5)::INTEGER), 6) AS validity_rate, coalesce(round(avg((value > 20)::INTEGER) FILTER (event_id % 3 <> 0), 6), 0.0) AS render_rate, round(avg(value), 6) AS mean_latency FROM events GROUP BY 1)
+@query("""WITH m AS (SELECT user_id % 7 AS cohort, round(avg((value > 5)::INTEGER), 6) AS validity_rate, coalesce(round(avg((value > 20)::INTEGER) FILTER (event_id % 3 <> 0), 6), 0.0) AS render_rate, round(avg(value), 6) AS mean_latency, round(avg(value / 2) FILTER (event_id % 4 = 0), 6) AS ttft, round(avg(value + 1) FILTER (event_id % 4 = 1 AND user_id % 7 <> 3), 6) AS speed FROM events GROUP BY 1)
     SELECT cohort, gate, value, threshold, coalesce(CASE WHEN gate LIKE 'min%' THEN value >= threshold ELSE value <= threshold END, false) AS passed FROM (
-      SELECT cohort, 'min_validity_rate' AS gate, validity_rate AS value, 0.9::DOUBLE AS threshold FROM m UNION ALL SELECT cohort, 'min_render_rate', render_rate, 0.5 FROM m UNION ALL SELECT cohort, 'max_mean_latency', mean_latency, 30.0 FROM m)""")
+      SELECT cohort, 'min_validity_rate' AS gate, validity_rate AS value, 0.9::DOUBLE AS threshold FROM m UNION ALL SELECT cohort, 'min_render_rate', render_rate, 0.5 FROM m UNION ALL SELECT cohort, 'max_mean_latency', mean_latency, 30.0 FROM m UNION ALL SELECT cohort, 'max_mean_ttft', ttft, 15.0 FROM m UNION ALL SELECT cohort, 'min_mean_tokens_per_second', speed, 20.0 FROM m)""")
 def eval_rollup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("cohort"), F.col("value").alias("latency"), F.lit(None).cast("double").alias("ttft"), F.lit(None).cast("double").alias("tokens_per_second"), *[F.expr(x).alias(n) for n, x in _RESULTS.items()])
-    return evaluation.gated(df, ["cohort"], {"min_validity_rate": 0.9, "min_render_rate": 0.5, "max_mean_latency": 30.0})
+    ttft, speed = F.when(F.col("event_id") % 4 == 0, F.col("value") / 2), F.when((F.col("event_id") % 4 == 1) & (F.col("user_id") % 7 != 3), F.col("value") + 1)
+    df = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("cohort"), F.col("value").alias("latency"), ttft.alias("ttft"), speed.alias("tokens_per_second"), *[F.expr(x).alias(n) for n, x in _RESULTS.items()])
+    return evaluation.gated(df, ["cohort"], {"min_validity_rate": 0.9, "min_render_rate": 0.5, "max_mean_latency": 30.0, "max_mean_ttft": 15.0, "min_mean_tokens_per_second": 20.0})
 
 
 @query("SELECT coalesce(nullif(event_type, 'view'), 'unknown') AS outcome, count(*) AS n FROM events GROUP BY 1")
@@ -245,16 +246,14 @@ _COLOR_SQL = "(l_partkey * 7 + l_linenumber) % 4098"
       UNION ALL SELECT unnest(['bos', 'eos', 'command', 'command']), unnest([0, 0, 1, 0]) FROM lineitem)
     SELECT kind, value::INTEGER AS value, count(*) AS n FROM parts GROUP BY ALL""")
 def token_xy_factorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _sequences(spark, sf_dir).select(codes.factorize_xy(F.col("ids")).alias("parts"))
-    return measures.component_counts(df, "parts", [])
+    return codes.component_counts(_sequences(spark, sf_dir), "ids", codes.factorize_xy)
 
 
 @query(f"""WITH p AS ({_POINTS_SQL}), c AS (SELECT {_COLOR_SQL} AS c FROM lineitem), parts AS (SELECT 'x' AS kind, p % 200 AS value FROM p UNION ALL SELECT 'y', p // 200 FROM p UNION ALL SELECT 'special_color', c FROM c WHERE c < 2
       UNION ALL SELECT unnest(['r', 'g', 'b']), unnest([((c - 2) >> 8) & 15, ((c - 2) >> 4) & 15, (c - 2) & 15]) FROM c WHERE c >= 2 UNION ALL SELECT unnest(['bos', 'eos', 'command', 'command', 'path_end']), unnest([0, 0, 1, 0, 0]) FROM lineitem)
     SELECT kind, value::INTEGER AS value, count(*) AS n FROM parts GROUP BY ALL""")
 def token_rgb_factorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _sequences(spark, sf_dir).select(codes.factorize_xy_rgb(F.col("ids")).alias("parts"))
-    return measures.component_counts(df, "parts", [])
+    return codes.component_counts(_sequences(spark, sf_dir), "ids", codes.factorize_xy_rgb)
 
 
 @query("SELECT count(*) AS rows_in, count(*) AS xy_back, count(*) AS rgb_back, count(*) AS valid FROM lineitem")
@@ -306,7 +305,11 @@ def markup_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.groupBy("role", "tag").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(text, '') AS whole, string_split(coalesce(text, ''), chr(10)) AS ls, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+    m AS (SELECT conv_id, r, n, p, len(regexp_extract_all(p, '\S+')) AS w FROM (SELECT conv_id, r, n, array_to_string(ls[1:n], chr(10)) AS p FROM (SELECT conv_id, r, ls, unnest(range(1, len(ls) + 1)) AS n FROM t)) WHERE regexp_matches(p, '\S')),
+    f AS (SELECT DISTINCT conv_id, 0::BIGINT AS r, 0::BIGINT AS tokens, NULL::BIGINT AS n FROM t UNION ALL
+      SELECT f.conv_id, t.r, f.tokens + coalesce((SELECT max(w) FROM m WHERE m.conv_id = t.conv_id AND m.r = t.r AND f.tokens + w <= 120), 0), (SELECT max(m.n) FROM m WHERE m.conv_id = t.conv_id AND m.r = t.r AND f.tokens + w <= 120) FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1)
+    SELECT conv_id, turn, whole AS text, p AS kept, tokens FROM f JOIN t USING (conv_id, r) JOIN m USING (conv_id, r, n)""".replace("\\S", "\S"))
 def token_budget_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.token_budget(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 120)
 
@@ -320,9 +323,9 @@ def best_attempt_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.best_attempts(df, "conv_id", "turn", "s", 2)
 
 
-@query("SELECT lang, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY lang")
+@query(f"""SELECT lang, sum(n)::BIGINT AS n, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM (SELECT lang, doc_id // {measures.DIGEST_BLOCK} AS b, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS d FROM documents GROUP BY ALL) GROUP BY lang""")
 def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.ordered_digest(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], "doc_id", ["doc_id"])
+    return measures.ordered_digest(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], "doc_id", "doc_id")
 
 
 @query("""WITH s AS (SELECT o_orderkey AS step, round(1000.0 / (o_orderkey + 10) + o_totalprice / 1000000, 6) AS loss FROM orders)
@@ -364,7 +367,7 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, n_chars <= 4096 AS retained, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest, sum(n_chars)::BIGINT AS total FROM documents GROUP BY ALL")
 def length_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows within and over a length limit."""
-    df = table(spark, sf_dir, "documents").withColumn("retained", F.col("n_chars") <= 4096)
+    df = sets.length_cohorts(table(spark, sf_dir, "documents"), "n_chars", 4096)
     return df.groupBy("lang", "retained").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.sum("n_chars").alias("total"))
 
 
@@ -380,7 +383,8 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.sessions(table(spark, sf_dir, "events"), "30 minutes", "10 minutes", "user_id")
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id::VARCHAR AS run_id, conv_id::VARCHAR || '-' || turn AS own, length(text) AS n FROM conversations)
+    SELECT run_id, 'attempt_digest' AS rule, own AS detail FROM c WHERE n IS NULL OR n % 2 = 1 UNION ALL SELECT run_id, 'feedback_score', (n / 100.0)::DOUBLE::VARCHAR FROM c WHERE n IS NULL OR n > 1000 UNION ALL SELECT run_id, 'evaluation_score', 'a/b' FROM c WHERE n IS NULL OR n > 1000""")
 def artifact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Integrity rules over run records built of conversations: odd lengths break a digest, long ones a score."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"), F.sha2("text", 256).alias("h"))
@@ -393,11 +397,12 @@ def artifact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.violations(runs.select("run_id", F.lit(3).alias("schema_version"), F.lit(None).cast("string").alias("selected_attempt_id"), F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("acceptance_score"), "attempts", "critic_feedback"))
 
 
-@query("SELECT l_returnflag, sum(l_quantity * l_discount) / sum(l_discount) AS token_mean FROM lineitem GROUP BY 1")
+@query("""SELECT round(sum(s) / sum(w), 6) AS token_mean, round(avg(CASE WHEN w <> 0 THEN s / w END), 6) AS sample_mean FROM (SELECT l_orderkey % 1000 AS g, sum(l_quantity * l_linenumber)::DOUBLE AS s, sum(l_linenumber)::DOUBLE AS w FROM lineitem GROUP BY 1)""")
 def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted mean of losses over all tokens."""
-    df = table(spark, sf_dir, "lineitem")
-    return df.groupBy("l_returnflag").agg(F.try_divide(F.sum(F.col("l_quantity") * F.col("l_discount")), F.sum("l_discount")).alias("token_mean"))
+    """Mean loss over all tokens by weight, and over samples; the lines of a bucket of orders are a sample's tokens."""
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("g")).agg(F.collect_list(F.struct("l_quantity", "l_linenumber")).alias("t"))
+    means = measures.weighted_means(rows.select(F.col("t.l_quantity").alias("losses"), F.col("t.l_linenumber").alias("weights")), "losses", "weights")
+    return means.select(F.round("token_mean", 6).alias("token_mean"), F.round("sample_mean", 6).alias("sample_mean"))
 
 
 @query("""SELECT lang, count(*) AS n, list_sort(list(doc_id) FILTER (r <= 5))::VARCHAR AS first FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE n_chars > 3000) GROUP BY lang""")

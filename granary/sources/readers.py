@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,7 +30,8 @@ def corpus(spark: SparkSession, paths: list[str], schema: StructType | str | Non
     """Rows of Parquet and JSON-lines files together, with source_file and source_row (from 0 within a file).
 
     Columns that one kind lacks are null. Parquet has row numbers; JSON lines get theirs by their
-    place among the file's lines, blank ones counted.
+    place among the file's lines, blank ones counted. A line that isn't JSON of the schema ends the
+    job and names its file and line.
     """
     parquet, lines = [p for p in paths if not re.search(r"\.jsonl?(\.gz)?$", p)], [p for p in paths if re.search(r"\.jsonl?(\.gz)?$", p)]
     parts = []
@@ -38,9 +40,11 @@ def corpus(spark: SparkSession, paths: list[str], schema: StructType | str | Non
         parts.append(reader.parquet(*parquet).select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("source_row")))
     if lines:
         numbered = numbered_lines(spark, lines)
-        shape = schema or spark.read.json(numbered.select("line").where("trim(line) <> ''").rdd.map(lambda r: r[0])).schema
-        parsed = numbered.where("trim(line) <> ''").select(F.from_json("line", shape, {"mode": "FAILFAST"}).alias("r"), "source_file", "source_row")
-        parts.append(parsed.select("r.*", "source_file", "source_row"))
+        shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema or spark.read.json(lines).schema
+        held = StructType([*shape.fields]).add("_corrupt_record", "string")
+        parsed = numbered.where("trim(line) <> ''").select(F.from_json("line", held).alias("r"), "source_file", "source_row")
+        bad = F.raise_error(F.concat(F.lit("no record: "), "source_file", F.lit(" line "), (F.col("source_row") + 1).cast("string")))
+        parts.append(parsed.select(F.when(F.col("r._corrupt_record").isNotNull(), bad).otherwise(F.col("r")).alias("r"), "source_file", "source_row").select(*[F.col("r").getField(f.name).alias(f.name) for f in shape.fields], "source_file", "source_row"))
     if not parts:
         raise ValueError("no paths")
     out = parts[0]
@@ -50,10 +54,16 @@ def corpus(spark: SparkSession, paths: list[str], schema: StructType | str | Non
 
 
 def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(line, source_file, source_row): a file's lines numbered from 0. A file is one task's: numbers need all lines before."""
-    whole = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("source_file"), F.col("content").cast("string").alias("t"))
-    lines = whole.select("source_file", F.posexplode(F.split("t", r"\r?\n")).alias("source_row", "line"), F.size(F.split("t", r"\r?\n")).alias("n"))
-    return lines.where("NOT (source_row = n - 1 AND line = '')").select("line", "source_file", F.col("source_row").cast("long"))
+    """(line, source_file, source_row): a file's lines numbered from 0, blank ones too.
+
+    Large files are read in blocks by many tasks: blocks are counted first, and a line's number is the
+    lines of its file's earlier blocks and its place in its own. Only a row for each block is broadcast.
+    """
+    lines = spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
+    blocks = lines.groupBy("__f", "__b").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
+    base = F.coalesce(F.sum("__n").over(W.partitionBy("__f").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("__f", "__b", "__first", base.alias("__base"))
+    return lines.join(placed, ["__f", "__b"]).select("line", "source_file", (F.col("__base") + F.col("__i") - F.col("__first")).cast("long").alias("source_row"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators.measures import set_digest
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -129,9 +133,57 @@ def write_curve(train: DataFrame, evaluation: DataFrame, path: str) -> None:
 
 
 def write_ids(df: DataFrame, id_col: str, path: str) -> dict:
-    """Sorted ids as text; returns count and digest."""
-    df.select(F.col(id_col).cast("string").alias("value")).repartitionByRange(8, "value").sortWithinPartitions("value").write.text(path)
-    return {"count": df.count(), "id": id_col}
+    """Sorted ids as text; returns their count and a digest that is the same in any order (set_digest)."""
+    ids = df.select(F.col(id_col).cast("string").alias("value"))
+    ids.repartitionByRange(8, "value").sortWithinPartitions("value").write.text(path)
+    n, digest = ids.agg(F.count("*"), set_digest("value")).first()
+    return {"count": n, "id": id_col, "digest": digest}
+
+
+def log_results(df: DataFrame, path: str) -> None:
+    """Append outcomes (with their key and status) to a durable log; each call adds whole files or none. See joins.uncompleted."""
+    df.write.mode("append").parquet(path)
+
+
+def write_predictions(df: DataFrame, name: str, text: str, path: str) -> None:
+    """Each row's text in a folder of its own, path/name=<name>: executors write them, and a lost one's are written again."""
+    df.select(F.col(name).cast("string").alias("name"), F.col(text).cast("string").alias("value")).write.partitionBy("name").text(path)
+
+
+def publish_bundle(spark: SparkSession, path: str, files: dict[str, str], sidecar: dict) -> dict:
+    """An immutable bundle: its files and a sidecar with their digests, renamed into place in one step.
+
+    A lock beside it, made only if it isn't there, keeps others out; a bundle that is there is never replaced.
+    """
+    fs, place = _fs(spark, path)
+    lock = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".lock")
+    if any("/" in name or name in ("", ".", "..") for name in files):
+        raise ValueError("files of a bundle have plain names")
+    fs.create(lock, False).close()
+    try:
+        if fs.exists(place):
+            raise FileExistsError(path)
+        staging = path.rstrip("/") + ".staging"
+        fs.delete(_fs(spark, staging)[1], True)
+        for name, text in files.items():
+            put_text(spark, f"{staging}/{name}", text)
+        whole = sidecar | {"files": {name: hashlib.sha256(text.encode()).hexdigest() for name, text in files.items()}}
+        put_json(spark, f"{staging}/sidecar.json", whole)
+        if not fs.rename(_fs(spark, staging)[1], place):
+            raise OSError(f"cannot publish {path}")
+        return whole
+    finally:
+        fs.delete(lock, False)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir; where that is unset, below a temporary folder, but on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='granary-')}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def longest(df: DataFrame, length_col: str, tie: str) -> DataFrame:

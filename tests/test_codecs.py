@@ -105,3 +105,46 @@ def test_manifests_and_counts(spark):
 def test_safe_fragments(spark):
     df = spark.createDataFrame([("<path/>", "c"), ("<script/>", "c"), ("<rect/>", " "), (None, "c")], "svg string, cap string")
     assert [r["element_names"] for r in safe_fragments(df, "svg", "cap").collect()] == [["path"]]
+
+
+def test_features_of_many_sequences_are_those_of_each(spark):
+    """The flattened grammar against the automaton, on sound, cut, shuffled and random sequences."""
+    import random
+
+    from granary.functions import codes
+
+    rng, b = random.Random(8), codes.BOOK
+    one = lambda r: rng.randint(*r)
+
+    def path():
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(5)
+            out += [b.command[0] + k, *[one(b.coordinate if a == "c" else b.arc) for a in b.arguments[k]]]
+        return [*out, b.color[0] + rng.choice([0, 1, 2, 900])]
+
+    rows = [None, [], [b.bos], [b.bos, b.eos], [b.bos, 5, b.eos], [5, 6, 7]]
+    for _ in range(400):
+        ids = [b.bos, *[i for _ in range(rng.randint(0, 4)) for i in path()], b.eos]
+        kind = rng.random()
+        if kind < 0.5 and len(ids) > 3:
+            at = rng.randrange(len(ids))
+            ids = ids[:at] + rng.choice([[], [one(b.coordinate)], [one(b.color)], [b.eos], [7], [b.command[0] + 2]]) + ids[at + rng.randint(0, 1) :]
+        rows.append(ids)
+    got = codes.features(rows)
+    for k, x in enumerate(rows):
+        expected = dict.fromkeys(codes.FEATURES.names) if x is None else codes.parse(x)
+        assert {n: got[n][k] for n in got} == expected, x
+    assert codes.features([]) == {n: [] for n in codes.FEATURES.names}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, ids array<int>")
+    assert {r["i"]: r["e"] for r in df.select("i", codes.sequence_features("ids").error.alias("e")).collect()} == dict(enumerate(got["error"]))
+
+
+def test_codecs_have_one_name_each():
+    from granary.functions import codecs
+
+    assert codecs.names() == ["path"] and codecs.get("path").vocabulary == 44_468
+    with pytest.raises(KeyError):
+        codecs.get("other")
+    with pytest.raises(ValueError):
+        codecs.register("path", codecs.get("path"))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
-from granary.plans.queries import QUERIES, SQL
+from granary.plans.operator_queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
