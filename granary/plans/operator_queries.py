@@ -468,7 +468,7 @@ def artifact_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def critic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label rows that can't be trained on."""
     own = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    df = table(spark, sf_dir, "conversations").select(own.alias("sample_id"), F.when(F.col("role") != "system", "draw").alias("instruction"), F.lit("<svg/>").alias("labeled_svg"), F.when(F.col("role") == "user", F.array().cast("array<string>")).otherwise(F.array(F.lit("e0001"))).alias("allowed_target_ids"), F.lit("x").alias("critic_output"))
+    df = table(spark, sf_dir, "conversations").select(own.alias("sample_id"), F.when(F.col("role") != "system", "draw").alias("instruction"), F.lit("<svg/>").alias("labeled_svg"), F.when(F.col("role") != "user", F.array(F.lit("e0001"))).alias("allowed_target_ids"), F.lit("x").alias("critic_output"))
     return critic.label_faults(df)
 
 
