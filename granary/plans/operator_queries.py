@@ -56,14 +56,14 @@ def name_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.uuid_of(name).alias("id"), text.is_commit(F.sha1(name.cast("binary"))).alias("is_commit"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN (props::JSON ->> '$.k')::BIGINT END AS k, sha256('{"a":' || event_id || ',"b":[1,"é"]}') AS canonical FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN (props::JSON ->> '$.k')::BIGINT ELSE -1 END AS k, sha256('{"a":' || event_id || ',"b":[1,"é"]}') AS canonical FROM events""")
 def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects out of answers: bare, fenced, with text around; else null. And the hash of canonical JSON."""
     fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
     around, kind = F.concat(F.lit("Here: "), F.col("props"), F.lit(" done")), F.col("event_id") % 4
     found = F.when(kind == 0, text.json_object(F.col("props"))).when(kind == 1, text.json_object(fenced)).when(kind == 2, text.json_slice(around)).otherwise(text.json_object(around))
     odd = F.concat(F.lit('{ "b" : [1, "\\u00e9"], "a": '), F.col("event_id").cast("string"), F.lit("}"))
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(found, "$.k", "bigint").alias("k"), text.canonical_json_hash(odd).alias("canonical"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_variant_get(found, "$.k", "bigint"), F.lit(-1)).alias("k"), text.canonical_json_hash(odd).alias("canonical"))
 
 
 @query("""SELECT lang, count(*) AS n, count(*) AS same, 0::BIGINT AS longer FROM documents WHERE text IS NOT NULL GROUP BY lang""")
@@ -171,7 +171,7 @@ def source_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.source_identity(table(spark, sf_dir, "events").select("event_id", "event_type"), sources, "event_type", "event_id").select("event_id", "source", "revision")
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN user_id + 1 WHEN 1 THEN user_id + 1 WHEN 2 THEN user_id + 1 END AS total, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE round(value, 2) END AS seconds, CASE WHEN user_id < 128 THEN 'b' ELSE 'i' END AS width FROM events""")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN user_id + 1 WHEN 1 THEN user_id + 1 WHEN 2 THEN user_id + 1 ELSE -1 END AS total, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE round(value, 2) END AS seconds, CASE WHEN user_id < 128 THEN 'b' ELSE 'i' END AS width FROM events""")
 def coerced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids out of a counter's answers; durations that may be of any kind; the narrowest integer width."""
     u, k = F.col("user_id").cast("string"), F.col("event_id") % 6
@@ -179,7 +179,7 @@ def coerced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(k == 0, answer).when(k == 1, F.concat(F.lit("["), answer, F.lit("]"))).when(k == 2, F.concat(F.lit('{"input_ids": '), answer, F.lit("}"))).when(k == 3, F.concat(F.lit("["), answer, F.lit(", [2]]"))).when(k == 4, F.lit("[-1, 2]")).otherwise(F.lit('["a"]'))
     timing = F.try_parse_json(F.concat(F.lit('{"timing": {"s": '), F.when(F.col("event_id") % 3 == 0, F.lit("true")).otherwise(F.round("value", 2).cast("string")), F.lit("}}")))
     total = F.aggregate(records.chat_ids(answer), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return table(spark, sf_dir, "events").select("event_id", total.alias("total"), F.round(records.seconds(timing, "$.timing.s"), 2).alias("seconds"), records.integer_width(F.lit(0).cast("bigint"), F.col("user_id")).alias("width"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(total, F.lit(-1)).alias("total"), F.round(records.seconds(timing, "$.timing.s"), 2).alias("seconds"), records.integer_width(F.lit(0).cast("bigint"), F.col("user_id")).alias("width"))
 
 
 @query("""SELECT event_id, concat_ws(',', CASE WHEN event_id % 5 = 0 THEN 'attempt' END, CASE WHEN value / 50 > 1 THEN 'score' END, CASE WHEN event_id % 2 = 0 THEN 'logit' END, CASE WHEN event_id % 3 = 0 THEN 'latency' END, CASE WHEN event_id % 4 = 0 THEN 'image' END) AS faults FROM events""")
@@ -453,7 +453,7 @@ def unexcluded_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'absolute' WHEN 2 THEN 'escapes' ELSE CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'not_found' END END AS fault,
-    CASE WHEN p_partkey % 5 > 2 THEN 'runs/' || p_partkey || '/a.svg' END AS path, CASE WHEN p_partkey % 5 > 2 AND p_partkey % 2 = 0 THEN p_size END AS size FROM part""")
+    CASE WHEN p_partkey % 5 > 2 THEN 'runs/' || p_partkey || '/a.svg' END AS path, CASE WHEN p_partkey % 5 > 2 AND p_partkey % 2 = 0 THEN p_size ELSE -1 END AS size FROM part""")
 def artifact_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that sidecars refer to: missing, absolute, escaping and dangling references are told."""
     key = F.col("p_partkey").cast("string")
@@ -461,7 +461,7 @@ def artifact_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = F.when(k == 0, " ").when(k == 1, "/etc/a.svg").when(k == 2, "b/../../a.svg").when(k == 3, "./a.svg").otherwise("b/../a.svg")
     sidecars = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("runs/"), key).alias("folder"), reference.alias("reference"))
     files = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("runs/"), key, F.lit("/a.svg")).alias("path"), F.col("p_size").alias("size"))
-    return artifacts.referenced(sidecars, files, "folder", "reference").select("p_partkey", "fault", "path", "size")
+    return artifacts.referenced(sidecars, files, "folder", "reference").select("p_partkey", "fault", "path", F.coalesce("size", F.lit(-1)).alias("size"))
 
 
 @query("""SELECT conv_id::VARCHAR || '-' || turn AS sample_id, 'not_json' AS fault FROM conversations UNION ALL SELECT conv_id::VARCHAR || '-' || turn, 'instruction' FROM conversations WHERE role = 'system' UNION ALL SELECT conv_id::VARCHAR || '-' || turn, 'allowed_target_ids' FROM conversations WHERE role = 'user'""")

@@ -309,7 +309,7 @@ def markup_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT conv_id, r, n, p, len(regexp_extract_all(p, '\S+')) AS w FROM (SELECT conv_id, r, n, array_to_string(ls[1:n], chr(10)) AS p FROM (SELECT conv_id, r, ls, unnest(range(1, len(ls) + 1)) AS n FROM t)) WHERE regexp_matches(p, '\S')),
     f AS (SELECT DISTINCT conv_id, 0::BIGINT AS r, 0::BIGINT AS tokens, NULL::BIGINT AS n FROM t UNION ALL
       SELECT f.conv_id, t.r, f.tokens + coalesce((SELECT max(w) FROM m WHERE m.conv_id = t.conv_id AND m.r = t.r AND f.tokens + w <= 120), 0), (SELECT max(m.n) FROM m WHERE m.conv_id = t.conv_id AND m.r = t.r AND f.tokens + w <= 120) FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1)
-    SELECT conv_id, turn, whole AS text, p AS kept, tokens FROM f JOIN t USING (conv_id, r) JOIN m USING (conv_id, r, n)""".replace("\\S", "\S"))
+    SELECT conv_id, turn, whole AS text, p AS kept, tokens FROM f JOIN t USING (conv_id, r) JOIN m USING (conv_id, r, n)""")
 def token_budget_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.token_budget(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 120)
 
