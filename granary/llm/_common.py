@@ -47,7 +47,14 @@ class Tables:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that cut() returned, once nothing reads it any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._granary_path)
+        self._delete(df._granary_path)
+
+    def clear(self) -> None:
+        """Delete all tables, once nothing reads them any more."""
+        self._delete(self.root)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
