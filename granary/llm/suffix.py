@@ -33,6 +33,8 @@ from granary.llm._common import Tables, as_bytes, bounded_batches, partitions
 LENGTH, K = 400, 32
 #: Bytes that a passage of over 50 words has at least, but for one in forty: what the pipeline's stage removes, and what op4's further column tells.
 PASSAGE = 256
+#: Words that a passage has more than; a run of LENGTH bytes goes whatever its words, as not all scripts part them.
+WORDS = 50
 #: Most contexts of a cell that one bucket sorts, and rows of a bucket on average.
 MAX_CELL, BUCKET_ROWS = 20_000, 12_000
 #: Bytes that are searched for anchors at once, and anchors among which a task combines equal contexts.
@@ -369,12 +371,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K, max_cell: int = MAX_CELL, as_text: bool = False, also: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K, max_cell: int = MAX_CELL, as_text: bool = False, also: int | None = None, words: int | None = None) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (long), and kept in place of the text: bytes, or text if asked, where code points that lost bytes go.
 
     Removed is every byte of a string of `length` bytes that also starts anywhere else in the column;
     all places go, the first too. also: a second, shorter length, by which nothing is removed; n_repeated
-    (long), which is there only if it is asked for, says how many bytes that rule covers. Null texts are empty; texts shorter than `length` stay whole; equal
+    (long), which is there only if it is asked for, says how many bytes that rule covers. words: a maximal run
+    under LENGTH bytes stays unless it has more words (parts between ASCII spaces) than that; None: all runs go. Null texts are empty; texts shorter than `length` stay whole; equal
     rows lose what they share; ids play no part; an empty table gives no rows; columns with these
     names in docs are replaced, others stay.
     """
@@ -419,6 +422,8 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
                 text, at, parts = zstandard.decompress(z.as_py()), 0, []
                 spans = spans.as_py() or []
                 runs = merged([(x["s"], x["e"]) for x in spans if x["l"] == length])
+                if words is not None:
+                    runs = [(s, e) for s, e in runs if e - s >= LENGTH or len(text[s:e].split()) > words]
                 for s, e in runs:
                     parts.append(text[at:s])
                     at = e

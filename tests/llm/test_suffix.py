@@ -56,6 +56,23 @@ def test_two_lengths_in_one_pass_match_brute_force(spark, seed, length, also, k,
     assert [got[i] for i in range(len(texts))] == [(*x, y[1]) for x, y in zip(plain(texts, length), plain(texts, also))]
 
 
+def test_runs_of_few_words_stay(spark):
+    rng = random.Random(11)
+    prose = lambda n, size: " ".join("".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(n))
+    passages = {"words": prose(55, 5), "few": prose(30, 9), "one": "".join(rng.choice("abcdefgh") for _ in range(420)), "fifty": "." + prose(50, 5) + "."}
+    texts = [f"{prose(20, 6)} {i}|{p}|{i} {prose(20, 6)}" for p in passages.values() for i in range(2)]
+    rows = {r["doc_id"]: r for r in suffix.without_repeats(docs(spark, texts), length=suffix.PASSAGE, words=suffix.WORDS).collect()}
+    removed = [[rows[2 * i + j]["n_removed"] for j in range(2)] for i in range(4)]
+    assert removed == [[331, 331], [0, 0], [422, 422], [0, 0]]
+    assert [rows[i]["n_spans"] for i in range(8)] == [1, 1, 0, 0, 1, 1, 0, 0]
+    assert all(bytes(rows[i]["kept"]).decode() == texts[i] for i in (2, 3, 6, 7))
+    # Runs that overlap count as one.
+    long, shared = prose(56, 5), [r["n_removed"] for r in suffix.without_repeats(docs(spark, texts), length=suffix.PASSAGE).collect()]
+    assert sum(x > 0 for x in shared) == 8
+    halves = [long, f"1 {long[:300]}.", f"2 .{long[-300:]}"]
+    assert {r["doc_id"]: r["n_removed"] for r in suffix.without_repeats(docs(spark, halves), length=suffix.PASSAGE, words=suffix.WORDS).collect()}[0] == len(long)
+
+
 def test_anchors_lie_in_every_window_also_over_parts(monkeypatch):
     rng = np.random.default_rng(5)
     text = rng.integers(97, 101, 9000, dtype=np.uint8).tobytes()
