@@ -30,7 +30,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(whole[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n - shingle + 1)
+    return majority(np.fromiter((digest(whole[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n - shingle + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes; no hashes give 0."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -75,10 +79,11 @@ class BKTree:
             d = (values[at] ^ value).bit_count()
             if d <= radius:
                 found.append(at)
-            if below := children[at]:
-                for e in range(d - radius, d + radius + 1):
-                    if (c := below.get(e)) is not None:
-                        todo.append(c)
+            below = children[at]
+            if len(below) <= 2 * radius:
+                todo += [c for e, c in below.items() if -radius <= e - d <= radius]
+            else:
+                todo += [below[e] for e in range(d - radius, d + radius + 1) if e in below]
         return found
 
 
@@ -109,6 +114,20 @@ def tree_links(stored: list[int], asked: list[int] | None, radius: int) -> list[
     return links
 
 
+def tree_units(keyed: DataFrame, key: list[str], node: str, tables: Tables, max_tree: int) -> DataFrame:
+    """keyed with i, j, stored: a shard of max_tree rows or fewer is a unit (0, 0) of rows that are stored and asked.
+
+    A larger one is dealt into parts by node; its units are the parts (i, i), and every two of them: i stored, j asked.
+    """
+    large = tables.cut(keyed.groupBy(*key).count().where(F.col("count") > max_tree).select(*key, F.ceil(F.col("count") / max_tree).cast("int").alias("s")))
+    if large.isEmpty():
+        return keyed.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("stored"))
+    own = F.pmod(F.xxhash64(node), F.col("s")).cast("int")
+    dealt = keyed.join(large, key, "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("own", own)
+    return dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other")).select(
+        *keyed.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("stored"))
+
+
 def near_links(prints: DataFrame, tables: Tables, radius: int = 2, max_tree: int = 4096) -> DataFrame:
     """Links (a, b) that connect every two fingerprints (fp long, each once) at distance radius or less.
 
@@ -124,16 +143,8 @@ def near_links(prints: DataFrame, tables: Tables, radius: int = 2, max_tree: int
     keys = F.array(*[F.struct(F.lit(n).alias("part"), block[i].alias("x"), block[j].alias("y")) for n, (i, j) in enumerate(combinations(range(blocks), 2))])
     keyed = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.part", "k.x", "k.y")
     key = ["part", "x", "y"]
-    large = tables.cut(keyed.groupBy(*key).count().where(F.col("count") > max_tree).select(*key, F.ceil(F.col("count") / max_tree).cast("int").alias("s")))
-    if large.isEmpty():
-        units = keyed.select(*key, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("stored"), "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
-        dealt = keyed.join(large, key, "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("own", own)
-        units = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other")).select(
-            *key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("stored"), "fp")
     unit = [*key, "i", "j"]
-    dealt = units.repartition(partitions(prints.sparkSession), *unit).sortWithinPartitions(*unit, F.desc("stored"), "fp")
+    dealt = tree_units(keyed, key, "fp", tables, max_tree).repartition(partitions(prints.sparkSession), *unit).sortWithinPartitions(*unit, F.desc("stored"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
