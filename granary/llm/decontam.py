@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import as_bytes, bounded_batches
+from granary.llm._common import as_bytes, bounded_batches, frugal
 
 #: Words of a shingle, and the share of an item's shingles (and, if it has both, of the words of its question and of its answer) that a passage must hold.
 SHINGLE, OVERLAP = 5, 0.8
@@ -277,7 +277,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(zip(*found))], schema.replace(",", "").split()[::2])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        out = out.unionByName(rows.mapInArrow(frugal(run), schema))
     return out
 
 
@@ -300,5 +300,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
                 clean = [not matches(index, words_of(text.as_py())) for text in batch.column(at).cast(pa.string()).cast(pa.binary())]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, kind)
+        docs = docs.mapInArrow(frugal(run), kind)
     return docs

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from granary.llm._common import Tables, bounded_batches
+from granary.llm._common import Tables, bounded_batches, frugal
 
 UNKNOWN = "und"
 #: Lengths of the n-grams.
@@ -102,7 +102,7 @@ def learn(labelled: DataFrame, tables: Tables, id_col: str, text_col: str, lang_
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["cell", "n"])
 
-    cells = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = sample.mapInArrow(frugal(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(len(langs) * buckets)
     total[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
     total = total.reshape(len(langs), buckets).T + 0.5
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -197,7 +197,7 @@ def with_floors(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.int64()), pa.array(sums[long][np.arange(len(best)), best] / n[long])], ["lang", "mean"])
 
     floor = np.full(len(model.langs), -np.inf)
-    means = rows.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "lang long, mean double")
+    means = rows.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(frugal(run), "lang long, mean double")
     for r in means.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("mean", 0.05).alias("low")).collect():
         if r["n"] >= FLOOR_DOCS:
             floor[r["lang"]] = r["low"] - MARGIN

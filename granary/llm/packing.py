@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import bounded_batches
+from granary.llm._common import bounded_batches, frugal
 from granary.llm.tokens import byte_bpe, vocabulary_path
 
 CAPACITY = 2048
@@ -120,4 +120,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             yield from packed()
 
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string")).mapInArrow(frugal(run), schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import Tables, as_bytes, bounded_batches, partitions
+from granary.llm._common import Tables, as_bytes, bounded_batches, frugal, partitions
 from granary.llm.components import connected_components, split_join
 
 BITS = 64
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), as_bytes(text_col)).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), as_bytes(text_col)).mapInArrow(frugal(run), "id long, fp long")
 
 
 class BKTree:
@@ -173,7 +173,7 @@ def near_links(prints: DataFrame, tables: Tables, radius: int = 2, max_tree: int
                 both = np.array(links, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return dealt.select(*unit, "stored", "fp").mapInArrow(run, "a long, b long")
+    return dealt.select(*unit, "stored", "fp").mapInArrow(frugal(run), "a long, b long")
 
 
 def _then_none(batches):

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import Tables, as_bytes, bounded_batches, partitions
+from granary.llm._common import Tables, as_bytes, bounded_batches, frugal, partitions
 
 LENGTH, K = 400, 32
 #: Bytes that a passage of over 50 words has at least, but for one in forty: what the pipeline's stage removes, and what op4's further column tells.
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, text_col: str, tables: Tables, lengths: tupl
     half, reach = (length - k) // 2, length - k
     texts = docs.select(as_bytes(text_col).alias("text"))
     run, schema = _find_anchors(length, longest, k)
-    found = tables.cut(texts.mapInArrow(run, schema))
+    found = tables.cut(texts.mapInArrow(frugal(run), schema))
     kept = found.where("n is not null").repartition(partitions(spark), "c1", "c2")
     counts = kept.groupBy("c1", "c2").agg(F.sum("n").alias("all"), F.min(F.struct("t1", "t2", "pos", "k0", "k1")).alias("r"))
     whole = kept.join(counts.where("all > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("t1", "t2", F.col("first").alias("s"), F.col("last").alias("e"))
@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, text_col: str, tables: Tables, lengths: tupl
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names)
 
-    context = texts.mapInArrow(fetch, "t1 long, t2 long, z binary").join(asked, ["t1", "t2"]).select("t1", "t2", "z", "at").mapInArrow(contexts, "t1 long, t2 long, pos long, cut long, open boolean, w long, key long, hot boolean, lead long, context binary")
+    context = texts.mapInArrow(frugal(fetch), "t1 long, t2 long, z binary").join(asked, ["t1", "t2"]).select("t1", "t2", "z", "at").mapInArrow(contexts, "t1 long, t2 long, pos long, cut long, open boolean, w long, key long, hot boolean, lead long, context binary")
     context = tables.cut(context)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +327,7 @@ def repeated_spans(docs: DataFrame, text_col: str, tables: Tables, lengths: tupl
 
     buckets = max(1, -(-(n_met[0] - n_met[1]) // BUCKET_ROWS))
     by_bucket = context.where("not hot").repartitionByRange(buckets, "lead", "key", "w")
-    spans = covered.unionByName(by_bucket.select("t1", "t2", "pos", "cut", "open", "w", "key", "context").mapInArrow(sort, "t1 long, t2 long, l long, s long, e long"))
+    spans = covered.unionByName(by_bucket.select("t1", "t2", "pos", "cut", "open", "w", "key", "context").mapInArrow(frugal(sort), "t1 long, t2 long, l long, s long, e long"))
     if n_met[1]:
         spans = spans.unionByName(_counted(context.where("hot"), tables, lengths, half, reach))
     return _gathered(spans)
@@ -349,7 +349,7 @@ def _counted(context: DataFrame, tables: Tables, lengths: tuple[int, ...], half:
             if out:
                 yield _rows("t1 t2 l s h1 h2", out)
 
-    rows = context.dropDuplicates(["t1", "t2", "pos", "w"]).mapInArrow(windows, "t1 long, t2 long, l long, s long, h1 long, h2 long")
+    rows = context.dropDuplicates(["t1", "t2", "pos", "w"]).mapInArrow(frugal(windows), "t1 long, t2 long, l long, s long, h1 long, h2 long")
     rows = tables.cut(rows.dropDuplicates(["t1", "t2", "l", "s"]))  # a window can hold two hot anchors
     other = F.col("h1").bitwiseXOR(F.lit(0x5BD1E995))  # as above: a hot window's rows can be split
     again = rows.groupBy("h1", "h2").count().where("count > 1").select(other.alias("j"), "h2")
@@ -434,6 +434,6 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], given(kept)], ["row", *added, "kept"])
 
     result = f"row {kind}, n_bytes long, n_removed long, n_spans long{", n_repeated long" if also else ""}, kept {'string' if as_text else 'binary'}"
-    same = row.mapInArrow(deal(False), result)
-    other = row.mapInArrow(deal(True), f"row {kind}, t1 long, t2 long, z binary").join(spans, ["t1", "t2"], "left").select("row", "z", "spans").mapInArrow(cut, result)
+    same = row.mapInArrow(frugal(deal(False)), result)
+    other = row.mapInArrow(frugal(deal(True)), f"row {kind}, t1 long, t2 long, z binary").join(spans, ["t1", "t2"], "left").select("row", "z", "spans").mapInArrow(cut, result)
     return same.unionByName(other).select(*[F.col("row").getField(c).alias(c) for c in rest], *added, "kept")
